@@ -67,5 +67,46 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_secret_scan, op2_html_extract, op3_warc, op4_histogram_shards, op5_quality_rules, op6_language_id, op7_chat_format, op8_packing, op9_decontaminate, op10_simhash)}
 
 
+_OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::BIGINT, 5))::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+_OP5 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM win),
+cov AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+m AS (SELECT d.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM d JOIN lines USING (doc_id) LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM b GROUP BY source),
+s AS (SELECT count(*) AS h, sum(n) AS n, sum(f) AS f, sum(n * n) AS nn, sum(f * f / n) AS ffn, sum(f) / sum(n) AS mean FROM hosts),
+r AS (SELECT *, (ffn - mean * f - (h - 1) * mean * (1 - mean)) / nullif((n - nn / n - (h - 1)) * mean * (1 - mean), 0) AS rho FROM s),
+prior AS (SELECT mean, CASE WHEN rho > 0 THEN least(1e6, 1 / rho - 1) ELSE 1e6 END AS k FROM r),
+bad AS (SELECT source FROM hosts, prior WHERE (f + mean * k) / (hosts.n + k) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM b.source) AS kept
+FROM b
+"""
+
+_CONTROLS = " + ".join(f"(length(x) - length(replace(x, '{c}', ''))) / {len(c)}" for c in ("\\", *chat_format.CONTROLS))
+_OP7 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT conv_id, turn, sum(length(x) + {_CONTROLS}) AS n FROM (SELECT conv_id, turn, unnest([role, text]) AS x FROM t) GROUP BY conv_id, turn)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chat_format.START + chat_format.HEAD + chat_format.END)} + n)::BIGINT AS formatted_chars
+FROM t JOIN e USING (conv_id, turn) GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries that SQL can express; the others are tested against brute force."""
+    return {"op3_warc": _OP3, "op5_quality_rules": _OP5, "op7_chat_format": _OP7}
