@@ -60,17 +60,46 @@ def ranked(g: np.ndarray, size: int = PROFILE) -> np.ndarray:
     return codes[np.argsort(-n, kind="stable")[:size]]
 
 
+#: N-grams held before they are counted: bounds a task's memory, whatever the batches.
+HELD = 1 << 20
+
+
+class _Counts:
+    """Counts of one language, from n-grams that come in pieces."""
+
+    def __init__(self) -> None:
+        self.codes, self.n = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, g: np.ndarray) -> None:
+        self.waiting.append(g)
+        self.held += len(g)
+        if self.held > HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.held:
+            codes, n = counted(np.concatenate(self.waiting))
+            codes, n = np.concatenate((self.codes, codes)), np.concatenate((self.n, n))
+            order = np.argsort(codes, kind="stable")
+            codes, n = codes[order], n[order]
+            at = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+            self.codes, self.n = codes[at], np.add.reduceat(n, at)
+        self.waiting, self.held = [], 0
+
+
 def gram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, gram, n) over all rows with a language."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by: dict[str, list[np.ndarray]] = {}
+            by: dict[str, _Counts] = {}
             for t, l in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
-                by.setdefault(l, []).append(grams(t.as_py() or ""))
-            for l, g in by.items():
-                codes, n = counted(np.concatenate(g)) if any(map(len, g)) else (np.empty(0, np.int64),) * 2
-                yield pa.RecordBatch.from_arrays([pa.array([l] * len(codes), pa.string()), pa.array(codes), pa.array(n)], names=["lang", "gram", "n"])
+                by.setdefault(l, _Counts()).add(grams(t.as_py() or ""))
+            for l, c in by.items():
+                c.settle()
+                yield pa.RecordBatch.from_arrays([pa.array([l] * len(c.codes), pa.string()), pa.array(c.codes), pa.array(c.n)], names=["lang", "gram", "n"])
 
     rows = docs.where(docs[lang].isNotNull()).select(docs[text].alias("text"), docs[lang].alias("lang")).mapInArrow(of, "lang string, gram long, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
