@@ -1,4 +1,4 @@
-"""The registered queries and their oracles."""
+"""All registered queries and their oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessella.plans import slots  # noqa: F401
+from tessella.plans.base import ORACLES, QUERIES  # noqa: F401
