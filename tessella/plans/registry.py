@@ -1,4 +1,4 @@
 """All registered queries and their oracles."""
 
-from tessella.plans import slots  # noqa: F401
+from tessella.plans import corpus, slots, training  # noqa: F401
 from tessella.plans.base import ORACLES, QUERIES  # noqa: F401

@@ -10,7 +10,7 @@ from tessella.functions import slots as S
 from tessella.functions import tables as T
 from tessella.operators import conversation, metrics
 from tessella.plans import sql as Q
-from tessella.plans.base import QUESTIONS_SQL, query, question_sql, questions, table
+from tessella.plans.base import QUESTIONS_SQL, query, question_sql, questions, shared_dir, table
 
 ASKED = f"WITH x AS (SELECT id, domain, lower(q) AS q FROM {QUESTIONS_SQL})"
 
@@ -208,18 +208,7 @@ def stream_slot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     source = table(spark, sf_dir, "conversations")
     rows = spark.readStream.schema(source.schema).format("parquet").option("maxFilesPerTrigger", 10_000).load(f"{sf_dir}/conversations.parque[t]")  # a pattern, as the table may be a file or a folder
-    return state.run_once(spark, state.slot_stream(turns(rows), SLOT_NAMES), state_dir(spark))
-
-
-def state_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, only where that is unset, a temporary folder of this machine."""
-    import tempfile
-
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d
+    return state.run_once(spark, state.slot_stream(turns(rows), SLOT_NAMES), shared_dir(spark))
 
 
 @query("""SELECT conv_id, turn, coalesce(array_to_string(list_reverse(list_filter([lag(m, 1) OVER w, lag(m, 2) OVER w, lag(m, 3) OVER w, lag(m, 4) OVER w], lambda v: v IS NOT NULL)), chr(10)), '') AS history
