@@ -155,3 +155,61 @@ def breaker(attempts: DataFrame, group: str, order: str, most: float = T.MAX_REJ
     rated = rated.join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_slice") == F.col("_s")))
     n, r = F.col("_n") + F.col("_n0"), F.col("_r") + F.col("_r0")
     return rated.groupBy(group).agg(F.min(F.when((n >= warmup) & (r / n > most), n)).alias("stopped_at"), F.count(F.lit(1)).alias("attempts"))
+
+
+#: Answers by intent, in this engine's own words; {cite} is the first document, other names are columns.
+ANSWERS = {
+    "verify_epf": "**Result:** on a basic salary of ₹{basic_salary} the EPF share is 12% [{cite}], that is ₹{due_epf} a month. Your slip shows ₹{epf_deducted}, so the deduction {epf_says}.",
+    "verify_esi": "**Result:** with ₹{gross_salary} gross, ESI is 0.75% [{cite}] up to a gross of ₹21,000. The amount due is ₹{due_esi}; your slip shows ₹{esi_deducted}, so the deduction {esi_says}.",
+    "full_audit": "**Result:** EPF due ₹{due_epf} against ₹{epf_deducted} [{cite}], ESI due ₹{due_esi} against ₹{esi_deducted} [{cite}]. The EPF deduction {epf_says}.",
+}
+STEPS = (
+    "\n\n**Why:** the amounts above follow from the rates and limits in the cited source, applied to the salary that you gave. Rounding is to the nearest rupee, and a difference of one rupee is within the rule."
+    "\n\n**Next steps:**\n1. Keep the payslip and a statement of the account.\n2. Compare the monthly entry with the amount above [{cite}].\n3. If they differ, write to the payroll office and ask for a correction.\n4. If nothing happens within a month, file a grievance with the regional office."
+)
+
+
+def template_answers(rows: DataFrame) -> DataFrame:
+    """rows (id, intent, payslip slots, allowed) with chosen: the template answer of the intent."""
+    due, due_esi = F.bround(F.col("basic_salary") * F.lit(0.12)).cast("long"), F.when(F.col("gross_salary") <= 21000, F.bround(F.col("gross_salary") * F.lit(0.0075)).cast("long")).otherwise(F.lit(0))
+    says = lambda actual, d: F.when(F.abs(actual - d) <= 1, "is correct and matches expected pay").when(actual < d, "is incorrect: under-deducted").otherwise("is incorrect: over-deducted")
+    values = {"basic_salary": F.format_number("basic_salary", 0), "gross_salary": F.format_number("gross_salary", 0), "epf_deducted": F.format_number("epf_deducted", 0), "esi_deducted": F.format_number("esi_deducted", 0),
+              "due_epf": F.format_number(due, 0), "due_esi": F.format_number(due_esi.cast("long"), 0), "epf_says": says(F.col("epf_deducted"), due), "esi_says": says(F.col("esi_deducted"), due_esi), "cite": F.get("allowed", 0)}
+    text = F
+    for intent, form in ANSWERS.items():
+        text = text.when(F.col("intent") == intent, form + STEPS)
+    return rows.withColumn("chosen", X.fill(text.otherwise(None), F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v)])))
+
+
+DIMENSIONS = ("verdict_correctness", "citation_faithfulness", "grounding")
+
+
+def contrastive_pairs(rows: DataFrame, quota: int | None = None) -> DataFrame:
+    """rows of template_answers() with dimension, rejected and reason; with a quota, at most so many accepted pairs of a dimension, by key order of hashes.
+    Dimensions go round by the id; each has its own way to spoil an answer."""
+    k = F.col("id")
+    rows = rows.withColumn("dimension", F.get(F.array(*[F.lit(d) for d in DIMENSIONS]), F.pmod(k, F.lit(len(DIMENSIONS))).cast("int")))
+    rejected = F.when(F.col("dimension") == DIMENSIONS[0], flip_verdict(F.col("chosen"), k)).when(F.col("dimension") == DIMENSIONS[1], permute_citations(F.col("chosen"), F.col("allowed"), k)).otherwise(inject_rule(F.col("chosen"), F.col("allowed"), k))
+    rows = rows.withColumn("rejected", rejected)
+    first, second = chosen_reason(F.col("chosen"), F.col("allowed"), F.col("dimension")), rejected_reason(F.col("rejected"), F.col("chosen"), F.col("dimension"))
+    rows = rows.withColumn("reason", F.when(F.col("rejected").isNull(), "rejected not made").when(first != "ok", first).otherwise(second))
+    if quota is None:
+        return rows
+    best = Window.partitionBy("dimension").orderBy(F.md5(k.cast("string")), k)
+    return rows.where("reason = 'ok'").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= quota).drop("_n")
+
+
+REDIRECTS = {
+    "legal": "a lawyer or the legal services authority", "medical": "a doctor", "investment": "a registered adviser", "visa": "the embassy or an immigration office", "other": "the authority in charge",
+}
+
+
+def refusal(question: Column) -> Column:
+    """(category, answer) for a question that is out of scope."""
+    category = X.ladder(F.lower(question), T.OUT_OF_SCOPE, "other")
+    to = F
+    for c, where in REDIRECTS.items():
+        to = to.when(category == c, where)
+    text = F.concat(F.lit("**Result:** this question is outside the scope of provident fund, payslip, labour and tax help.\n\n**Where to go:** please consult "), to.otherwise(None),
+                    F.lit(". They can look at your documents and your specific situation, which general sources can't cover. Bring earlier letters, account numbers and a short list of what happened and when, so that nothing has to be asked twice."))
+    return F.struct(category.alias("category"), text.alias("answer"))

@@ -265,3 +265,39 @@ def rag_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = made.withColumn("answer", F.when(F.col("gate.sufficient"), endpoints.column(endpoints.echo_generator, F.col("prompt"))).otherwise(F.col("gate.question")))
     fabricated: Column = F.size(F.array_except(X.citations("answer"), F.coalesce(F.col("hits.doc_id"), F.array().cast("array<string>"))))
     return out.select("query_id", "domain", F.when(F.col("gate.sufficient"), "ANSWER").otherwise("ASK").alias("decision"), "answer", F.size(X.citations("answer")).alias("cited"), fabricated.alias("made_up"))
+
+
+def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Template answers for every customer's sampled payslip, with two or three documents to cite."""
+    s = sampled(spark, sf_dir).withColumn("intent", synthesis.choice(F.col("id"), "intent", tuple(synthesis.ANSWERS)))
+    docs = F.transform(F.sequence(F.lit(0), F.lit(1) + F.pmod(F.col("id"), F.lit(2)).cast("int")), lambda i: F.concat(F.lit("DOC_"), F.pmod(F.col("id") + i, F.lit(50))))
+    return synthesis.template_answers(s.withColumn("allowed", F.when(F.col("intent") == "full_audit", F.concat(docs, F.array(F.lit(T.TOOL_DOC)))).otherwise(docs)))
+
+
+@query()
+def contrastive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chosen and a spoiled answer for every customer, with the validators' reason."""
+    return synthesis.contrastive_pairs(pair_rows(spark, sf_dir)).select("id", "intent", "dimension", "chosen", "rejected", "reason")
+
+
+@query(f"""{_PAY}, t AS (SELECT id, ({str(['verify_epf', 'verify_esi', 'full_audit'])})[{_draw('id', 'intent', 3)} + 1] AS intent FROM s) SELECT intent, count(*) AS n FROM t GROUP BY GROUPING SETS ((intent), ())""")
+def pair_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pair_rows(spark, sf_dir).where("chosen IS NOT NULL")
+    return p.groupingSets([["intent"], []], "intent").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT conv_id, turn, {Q.ladder("lower(coalesce(text, '') || CASE (conv_id + turn) % 5 WHEN 0 THEN ' can I sue?' WHEN 1 THEN ' crypto tips' WHEN 2 THEN ' a visa' ELSE '' END)", T.OUT_OF_SCOPE, chr(39) + 'other' + chr(39))} AS category FROM conversations""")
+def out_of_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The category of refusal of every message, with a question put behind it."""
+    q = F.concat(F.coalesce("text", F.lit("")), F.expr("CASE (conv_id + turn) % 5 WHEN 0 THEN ' can I sue?' WHEN 1 THEN ' crypto tips' WHEN 2 THEN ' a visa' ELSE '' END"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", synthesis.refusal(q)["category"].alias("category"))
+
+
+@query()
+def vanilla_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain baseline: five passages, a prompt, an answer of the default endpoint."""
+    d = corpus.documents(spark, sf_dir)
+    hits = retrieve.bm25(d, corpus.asked(spark, sf_dir), 5).join(d, "doc_id")
+    hit = F.struct("rank", F.concat(F.lit("DOC_"), F.col("doc_id")).alias("doc_id"), "effective_date", "domain", F.coalesce("text", F.lit("")).alias("content"))
+    p = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    return p.select("query_id", endpoints.column(endpoints.echo_generator, X.prompt_block(F.col("hits"))).alias("answer"))

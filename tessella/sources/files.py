@@ -40,7 +40,7 @@ def write_json_lines(df: DataFrame, path: str, ascii_only: bool = False) -> None
 def _escaped(c: Column) -> Column:
     """The character as one or two escapes of UTF-16 units."""
     units = F.hex(F.encode(c, "UTF-16BE"))
-    return F.lower(F.regexp_replace(units, "(.{4})", r"\\\\u$1"))
+    return F.lower(F.regexp_replace(units, "(.{4})", r"\\u$1"))
 
 
 def append_once(df: DataFrame, key: str, path: str) -> DataFrame:
@@ -96,3 +96,14 @@ def pdf_pages(spark: SparkSession, folder: str, page_texts: Callable[[bytes], li
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", True).load(folder)
     return files.select("path", "content").mapInPandas(of, "path string, page int, text string, start long, end long")
+
+
+def write_json_array(df: DataFrame, path: str, order: str) -> None:
+    """One file that is a JSON array, in the order of a column: for small results that other programs read. The file is written as sorted
+    lines whose separators make them an array, so no task holds more than a line."""
+    from pyspark.sql import Window
+
+    w = Window.orderBy(order)
+    last = F.lead(F.lit(1)).over(w).isNull()
+    line = F.concat(F.when(F.row_number().over(w) == 1, "[").otherwise(""), F.to_json(F.struct(*df.columns)), F.when(last, "]").otherwise(","))
+    df.select(order, line.alias("value")).coalesce(1).sortWithinPartitions(order).select("value").write.mode("overwrite").text(path)
