@@ -2,16 +2,20 @@
 
 A fingerprint has 64 bits: bit b is 1 if over half of the hashes of a text's word shingles (repeats included) have it.
 Fingerprints link at `radius` or fewer differing bits. Candidate pairs come from 2^(radius+1) - 1 tables: every bit
-gets a vector of radius + 1 bits, and table v keeps the bits whose vector has an odd product with v. For any set of
+gets a vector of radius + 1 bits that isn't zero, and table v keeps the bits whose vector has an odd product with v. For any set of
 at most radius differing bits some v is orthogonal to all their vectors, so that table keeps none of the differing
 bits and the pair meets there: no link is lost, by construction.
 
 Equal fingerprints are one node, with the smallest document id. A bucket of a few nodes is compared within itself. A
 larger bucket isn't: its nodes go through the tables of another set of vectors, under the bits kept so far, where
 again every link meets in some table; this repeats until buckets are small, or keep all but few bits, which bounds
-the distinct nodes they can have. Buckets give the edges of a spanning forest of their links, not all pairs.
+the distinct nodes they can have. Buckets give the edges of a spanning forest of their links, not all pairs. A level is one
+exchange of (path, masked fingerprint, fingerprint) and one pass over sorted rows, which holds one bucket at most.
 Components come from min-label contraction over these edges, each round written to the shared folder.
 
+With a wide radius, unrelated fingerprints link by chance in a large corpus. `check_words` adds a second fingerprint, of
+shingles of that many words; edges whose second fingerprints differ in more than `check_radius` bits are dropped.
+
 Defined results: a text without words, null included, has fingerprint 0 and links like any other. A text of fewer
 words than a shingle is one shingle. Equal rows are equal fingerprints. A null id is larger than all others. An empty
 table gives an empty result.
@@ -19,6 +23,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import random
 from collections.abc import Iterator
@@ -54,22 +59,23 @@ def fingerprint(text: str | None, n_words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = WORDS, check_words: int | None = None) -> DataFrame:
+    """(doc_id, fp, check): fingerprints as signed longs; check is null without check_words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), n_words) for t in b.column("text")], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            made = [pa.array(np.array([fingerprint(t.as_py(), n) for t in b.column("text")], dtype=np.uint64).view(np.int64)) if n else pa.nulls(b.num_rows, pa.int64()) for n in (n_words, check_words)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made], names=["doc_id", "fp", "check"])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(of, "doc_id long, fp long")
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(of, "doc_id long, fp long, check long")
 
 
+@functools.cache
 def covering_masks(radius: int = RADIUS, bits: int = BITS, level: int = 0) -> list[int]:
     """The masks, as signed longs, of one set of tables."""
     r = random.Random(1000 + level)
-    vectors = [k % (1 << (radius + 1)) for k in range(bits)]
-    r.shuffle(vectors)
+    pool = list(range(1, 1 << (radius + 1)))
+    vectors = r.sample(pool, bits) if bits <= len(pool) else [pool[k % len(pool)] for k in r.sample(range(bits), bits)]
     masks = []
     for v in range(1, 1 << (radius + 1)):
         m = sum(1 << b for b in range(bits) if (vectors[b] & v).bit_count() % 2)
@@ -93,45 +99,118 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _edges_within(buckets: DataFrame, radius: int) -> DataFrame:
-    """buckets: column nodes, arrays of (fp, id)."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = [], []
-            for nodes in b.column("nodes"):
-                v = nodes.values
-                fps, ids = (np.asarray(v.field(k)) for k in ("fp", "id"))
-                for x, y in _forest(fps.view(np.uint64), radius):
-                    a.append(int(ids[x]))
-                    c.append(int(ids[y]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
-
-    return buckets.select("nodes").mapInArrow(of, "a long, b long")
+def _kept(path: int, radius: int) -> int:
+    """The bits that the tables of a path keep."""
+    tables, steps = (1 << (radius + 1)) - 1, []
+    while path:
+        path, k = divmod(path - 1, tables)
+        steps.append(k)
+    kept = 0
+    for level, k in enumerate(reversed(steps)):
+        kept |= covering_masks(radius, level=level)[k]
+    return kept
+
+
+class _Buckets:
+    """Turns sorted rows (path, masked, fp), in pieces, into edges (fp, fp, null) and, for buckets that are too large, open nodes (fp, kept bits, path)."""
+
+    def __init__(self, radius: int, bucket: int):
+        self.radius, self.bucket = radius, bucket
+        self.carry = np.empty((3, 0), np.int64)
+        self.large: tuple | None = None  # the key of a large bucket whose rows still come
+        self.out: tuple[list, list, list] = ([], [], [])
+
+    def _open(self, rows: np.ndarray) -> None:
+        path = int(rows[0, 0])
+        self.out[0].extend(rows[2].tolist())
+        self.out[1].extend([_kept(path, self.radius)] * rows.shape[1])
+        self.out[2].extend([path] * rows.shape[1])
+
+    def _edges(self, a: list, b: list) -> None:
+        self.out[0].extend(a)
+        self.out[1].extend(b)
+        self.out[2].extend([None] * len(a))
+
+    def _too_large(self, rows: np.ndarray) -> bool:
+        """Buckets with six free bits have at most 64 distinct fingerprints: they are compared within at any rate."""
+        return rows.shape[1] > self.bucket and BITS - (_kept(int(rows[0, 0]), self.radius) & (1 << BITS) - 1).bit_count() > 6
+
+    def _bucket(self, rows: np.ndarray) -> None:
+        if self._too_large(rows):
+            self._open(rows)
+        else:
+            f = rows[2].tolist()
+            pairs = _forest(rows[2].view(np.uint64), self.radius)
+            self._edges([f[x] for x, _ in pairs], [f[y] for _, y in pairs])
+
+    def add(self, rows: np.ndarray) -> None:
+        if self.large is not None:
+            other = np.flatnonzero((rows[0] != self.large[0]) | (rows[1] != self.large[1]))
+            n = int(other[0]) if len(other) else rows.shape[1]
+            if n:
+                self._open(rows[:, :n])
+            rows = rows[:, n:]
+            if not rows.shape[1]:
+                return
+            self.large = None
+        rows = np.concatenate((self.carry, rows), axis=1)
+        starts = np.flatnonzero(np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))))
+        self._whole(rows[:, : starts[-1]], starts)
+        self.carry = rows[:, starts[-1] :]
+        if self._too_large(self.carry):
+            self._open(self.carry)
+            self.large, self.carry = (int(self.carry[0, 0]), int(self.carry[1, 0])), np.empty((3, 0), np.int64)
+
+    def end(self) -> None:
+        if self.carry.shape[1] > 1:
+            self._bucket(self.carry)
+
+    def _whole(self, rows: np.ndarray, starts: np.ndarray) -> None:
+        sizes = np.diff(starts)
+        two = starts[:-1][sizes == 2]
+        near = two[np.bitwise_count((rows[2][two] ^ rows[2][two + 1]).view(np.uint64)) <= self.radius]
+        self._edges(rows[2][near].tolist(), rows[2][near + 1].tolist())
+        for k in np.flatnonzero(sizes > 2).tolist():
+            self._bucket(rows[:, starts[k] : starts[k + 1]])
+
+    def flush(self) -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in self.out], names=["a", "b", "path"])
+        self.out = ([], [], [])
+        return made
+
+
+#: Rows of an exchange's partition.
+PART_ROWS = 400_000
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between ids of nodes (distinct fp, id) that connect exactly what links within the radius connect."""
-    edges: list[DataFrame] = []
-    open_nodes = nodes.select("fp", "id", F.lit(0).cast("long").alias("kept"), F.lit(0).cast("long").alias("path"))
+    """Edges (a, b), a > b, between nodes (distinct fp) that connect exactly what links within the radius connect."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Buckets(radius, bucket)
+        for b in batches:
+            if b.num_rows:
+                found.add(np.stack([b.column(c).to_numpy() for c in ("path", "masked", "fp")]))
+                yield found.flush()
+        found.end()
+        yield found.flush()
+
+    spark, edges = nodes.sparkSession, []
+    tables = (1 << (radius + 1)) - 1
+    now = nodes.select("fp", F.lit(0).cast("long").alias("kept"), F.lit(0).cast("long").alias("path"))
+    n = nodes.count()
     for level in itertools.count():
         masks = F.array(*[F.struct(F.lit(k).alias("t"), F.lit(m).alias("m")) for k, m in enumerate(covering_masks(radius, level=level))])
-        rows = open_nodes.select("fp", "id", "kept", "path", F.explode(masks).alias("x"))
-        # The masks so far, not only their last, tell the bucket: the path of tables is part of its key.
-        rows = rows.select("fp", "id", F.col("kept").bitwiseOR(F.col("x.m")).alias("kept"), (F.col("path") * len(covering_masks(radius)) + F.col("x.t") + 1).alias("path"))
-        key = [F.col("path"), F.col("fp").bitwiseAND(F.col("kept")).alias("masked")]
-        sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fp", "id")).alias("x"), F.max(F.struct("fp", "id")).alias("y"), F.first("kept").alias("kept"))
-        sizes = materialise(sizes.where(F.col("n") > 1), "simhash-buckets")
-        pairs = sizes.where((F.col("n") == 2) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius))
-        edges.append(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-        more = sizes.where("n > 2").select(F.col("path").alias("p"), F.col("masked").alias("v"), "n")
-        free = BITS - F.bit_count("kept")
-        met = rows.withColumn("masked", F.col("fp").bitwiseAND(F.col("kept"))).join(more, (F.col("path") == F.col("p")) & (F.col("masked") == F.col("v")))
-        small = (F.col("n") <= bucket) | (free <= 6)  # six free bits: at most 64 distinct fingerprints
-        edges.append(_edges_within(met.where(small).groupBy("path", "masked").agg(F.collect_list(F.struct("fp", "id")).alias("nodes")), radius))
-        if sizes.where((F.col("n") > bucket) & (BITS - F.bit_count("kept") > 6)).isEmpty():
+        rows = now.repartition(max(1, -(-n * tables // PART_ROWS))).select("fp", "kept", "path", F.explode(masks).alias("x"))
+        # The whole path of tables is part of a bucket's key, as the bits kept depend on it.
+        rows = rows.select((F.col("path") * tables + F.col("x.t") + 1).alias("path"), F.col("fp").bitwiseAND(F.col("kept").bitwiseOR(F.col("x.m"))).alias("masked"), "fp")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * tables // PART_ROWS))
+        found = materialise(rows.repartition(parts, "path", "masked").sortWithinPartitions("path", "masked", "fp").mapInArrow(of, "a long, b long, path long"), "simhash-level")
+        edges.append(found.where("path IS NULL").select("a", "b"))
+        now = found.where("path IS NOT NULL").select(F.col("a").alias("fp"), F.col("b").alias("kept"), "path")
+        n = now.count()
+        if not n:
             break
-        open_nodes = materialise(met.where(~small).select("fp", "id", "kept", "path"), "simhash-open")
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -168,11 +247,20 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = WORDS, radius: int = RADIUS, check_words: int | None = None, check_radius: int = 16) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs."""
-    fps = materialise(fingerprints(docs, text, doc_id, n_words), "simhash-fp")
-    nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-nodes")
-    label = components(links(nodes.where(F.col("id").isNotNull()), radius))
-    owner = nodes.join(label.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "id").alias("component_id"))
-    # Only what differs from its own fingerprint's first document needs a look-up by component; all need one by fingerprint.
-    return fps.join(owner, F.col("fp") == F.col("_fp"), "left").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    fps = materialise(fingerprints(docs, text, doc_id, n_words, check_words), "simhash-fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "check"))
+    nodes = materialise(fps.groupBy("fp").agg(first.alias("x")).select("fp", F.col("x.doc_id").alias("id"), F.col("x.check").alias("check")), "simhash-nodes")
+    edges = links(nodes, radius)
+    if check_words:
+        side = lambda c: nodes.select(F.col("fp").alias(c), F.col("check").alias(f"_{c}"))
+        near = F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= check_radius
+        edges = edges.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
+    found = components(edges).withColumnRenamed("id", "fp")
+    found = found.unionByName(found.select(F.col("component").alias("fp"), "component").distinct())
+    label = materialise(nodes.join(found, "fp"), "simhash-labels")
+    least = label.groupBy("component").agg(F.min("id").alias("component_id"))
+    owner = label.join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
+    alone = nodes.select("fp", "id").join(owner, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "id").alias("component_id"))
+    return fps.join(alone, F.col("fp") == F.col("_fp"), "left").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
