@@ -100,6 +100,24 @@ def host_rates(hosts: DataFrame, prior: HostPrior) -> DataFrame:
     return hosts.withColumn("shrunk_rate", (F.col("failed") + F.lit(prior.mean * prior.strength)) / (F.col("n") + F.lit(prior.strength)))
 
 
+#: Rejected hosts up to this number (names of some dozen bytes) are sent to all tasks; beyond it both sides are dealt out by host and a salt.
+SENT_HOSTS, SALTS = 100_000, 64
+
+
+def _with_verdicts(measured: DataFrame, bad: DataFrame, sent: int = SENT_HOSTS) -> DataFrame:
+    """measured with host_rejected. Documents aren't dealt out by host alone: one host may have a third of them."""
+    n = bad.count()
+    if not n:
+        return measured.withColumn("host_rejected", F.lit(False))
+    same = F.col("_host").eqNullSafe(F.col("_bad"))
+    if n <= sent:
+        joined = measured.join(F.broadcast(bad), same, "left")
+    else:
+        salted = bad.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = measured.withColumn("_salt", F.pmod(F.xxhash64(*METRICS, "_host"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_salt") == F.col("_salt2")), "left")
+    return joined.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+
+
 def annotate(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None, max_host_rate: float = 0.5) -> DataFrame:
     """docs (the columns in keep, all by default) with the measures, base_failed, host_rejected and kept.
 
@@ -113,5 +131,5 @@ def annotate(docs: DataFrame, text: str = "text", host: str = "source", keep: li
     measured = materialise(measured.withColumn("base_failed", failed), "quality")
     hosts = measured.groupBy("_host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     bad = host_rates(hosts, fit_prior(hosts)).where(F.col("shrunk_rate") > max_host_rate).select(F.col("_host").alias("_bad"), F.lit(True).alias("host_rejected"))
-    joined = measured.join(bad, F.col("_host").eqNullSafe(F.col("_bad")), "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+    joined = _with_verdicts(measured, materialise(bad, "quality-hosts"))
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).select(*carried, *names)
