@@ -19,9 +19,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.annotate(docs).where("kept").select(*docs.columns)
 
 
+#: Copies with a few words in a hundred replaced differ in up to seven bits (five-word similarity of 0.8 and more), sometimes in more. So
+#: wide a radius needs the second fingerprint against chance.
+RADIUS, CHECK_WORDS = 7, 2
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document of the smallest id stays; of equal rows, one."""
-    gone = simhash.near_duplicates(docs).where("component_id != doc_id").select("doc_id")
+    gone = simhash.near_duplicates(docs, radius=RADIUS, check_words=CHECK_WORDS).where("component_id != doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).distinct()
 
 

@@ -67,6 +67,14 @@ def test_host_verdicts(spark):
     assert got.where("source = 'bad' and kept").count() == 0 and got.where("source = 'good' and kept").count() == 200
 
 
+def test_host_verdicts_dealt_out_by_salt(spark):
+    rows = spark.createDataFrame([(n, 0, 0, 0, 0, h) for n in range(50) for h in ("a", "b", None)], "n_words int, word_chars int, n_symbols int, n_dup_lines int, n_repeat_words int, _host string")
+    bad = spark.createDataFrame([("a", True), (None, True)], "_bad string, host_rejected boolean")
+    for sent in (0, 10):
+        got = quality_rules._with_verdicts(rows, bad, sent).groupBy("_host", "host_rejected").count().collect()
+        assert {(r["_host"], r["host_rejected"], r["count"]) for r in got} == {("a", True, 50), ("b", False, 50), (None, True, 50)}
+
+
 def test_quality_rules_extra_columns_and_empty(spark):
     d = spark.createDataFrame([(1, "a b", "h", True, 5)], "doc_id long, text string, source string, kept boolean, n_words int")
     assert [r["kept"] for r in quality_rules.annotate(d).collect()] == [False]
@@ -204,6 +212,11 @@ def test_covering_masks_meet_every_pair():
         for bits in itertools.chain(itertools.combinations(range(12), 3), (r.sample(range(64), 3) for _ in range(3000))):
             d = sum(1 << b for b in bits)
             assert any(m & d == 0 for m in masks)
+    wide = [m & (1 << 64) - 1 for m in simhash.covering_masks(7)]
+    assert len(wide) == 255 and min(m.bit_count() for m in wide) >= 16
+    for _ in range(3000):
+        d = sum(1 << b for b in r.sample(range(64), 7))
+        assert any(m & d == 0 for m in wide)
 
 
 def test_simhash_large_buckets(spark):
@@ -222,11 +235,38 @@ def test_simhash_large_buckets(spark):
     for i, x in fps.items():
         distinct.setdefault(x, i)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    nodes = spark.createDataFrame([(signed(x), i) for x, i in distinct.items()], "fp long, id long")
-    e = simhash.links(nodes, bucket=8)
-    label = {r["id"]: r["component"] for r in simhash.components(e).collect()}
-    want = brute_components({i: x for x, i in distinct.items()})
-    assert {i: label.get(i, i) for i in want} == want
+    nodes = spark.createDataFrame([(signed(x),) for x in distinct], "fp long")
+    want = brute_components({signed(x): x for x in distinct})
+    for bucket in (8, 1000):
+        label = {r["id"]: r["component"] for r in simhash.components(simhash.links(nodes, bucket=bucket)).collect()}
+        assert {i: label.get(i, i) for i in want} == want
+
+
+def test_simhash_wide_radius_with_a_check(spark):
+    """Radius 7 in 255 tables, edges checked by a second fingerprint."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    fps, checks = {i: simhash.fingerprint(t, 3) for i, t in texts.items()}, {i: simhash.fingerprint(t, 2) for i, t in texts.items()}
+    want = brute_components(fps, 7)
+    loose = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(d, radius=7).collect()}
+    assert loose == want
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(d, radius=7, check_words=2).collect()}
+    assert all((checks[i] ^ checks[c]).bit_count() <= 16 or fps[i] == fps[c] for i, c in got.items()) and set(got.values()) >= set(want.values())
+
+
+def test_buckets_over_batches():
+    """Large buckets that come in pieces go on whole."""
+    import numpy as np
+
+    rows = np.array([[1] * 50 + [2] * 3 + [3] * 30, [0] * 83, [*range(50), 8, 9, (1 << 40) - 1, *range(0, 60, 2)]], np.int64)
+    for step in (1, 7, 100):
+        b = simhash._Buckets(3, 20)
+        for at in range(0, 83, step):
+            b.add(rows[:, at : at + step])
+        b.end()
+        opened = sorted((p, f) for f, _, p in zip(*b.out, strict=True) if p is not None)
+        assert opened == [(1, f) for f in range(50)] + [(3, f) for f in range(0, 60, 2)]
+        assert [(x, y) for x, y, p in zip(*b.out, strict=True) if p is None] == [(8, 9)]
 
 
 def test_components_of_a_path(spark):

@@ -6,7 +6,7 @@ import corpus_pipeline
 from tests.llm.test_native import base_of, brute_components, brute_fingerprint, measures
 from tests.llm.test_python import brute_leaks, check_packed
 
-from tessella.llm import queries
+from tessella.llm import queries, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,6 +35,15 @@ def redacted(text):
     return "".join(out) + text[at:]
 
 
+def linked(rows):
+    """Components of links within seven bits whose forest edges pass the check; on this table every link passes it."""
+    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in rows}
+    checks = {r["doc_id"]: simhash.fingerprint(r["text"], corpus_pipeline.CHECK_WORDS) for r in rows}
+    near = [(a, b) for a in fps for b in fps if a < b and 0 < (fps[a] ^ fps[b]).bit_count() <= corpus_pipeline.RADIUS]
+    assert all((checks[a] ^ checks[b]).bit_count() <= 16 for a, b in near)
+    return brute_components(fps, corpus_pipeline.RADIUS)
+
+
 def test_stages(spark):
     from tokenizers import Tokenizer
 
@@ -52,7 +61,7 @@ def test_stages(spark):
 
     rows = kept_by_rules(rows)
     docs = step("quality rules", docs, rows)
-    label = brute_components({r["doc_id"]: brute_fingerprint(r["text"]) for r in rows})
+    label = linked(rows)
     rows = [r for r in rows if label[r["doc_id"]] == r["doc_id"]]
     docs = step("SimHash near-dedup", docs, rows)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
