@@ -66,8 +66,9 @@ def gapless(df: DataFrame, group: list[str], order: list[str], name: str, salts:
     first = counts.select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     within = Window.partitionBy(*group, "_slice").orderBy(*order)
     numbered = salted.withColumn("_place", F.row_number().over(within) - 1)
-    joined = numbered.join(first.withColumnsRenamed({g: f"_g_{g}" for g in group}).withColumnRenamed("_slice", "_s"),
-                           on=[F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group] + [F.col("_slice") == F.col("_s")], how="inner")
+    # Plain equality where null can't be: the window's partitioning then serves the join too, and rows are exchanged once.
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) if df.schema[g].nullable else F.col(g) == F.col(f"_g_{g}") for g in group]
+    joined = numbered.join(first.withColumnsRenamed({g: f"_g_{g}" for g in group}).withColumnRenamed("_slice", "_s"), on=[*same, F.col("_slice") == F.col("_s")], how="inner")
     return joined.withColumn(name, (F.col("_place") + F.col("_first")).cast("long")).drop("_slice", "_place", "_first", "_s", *[f"_g_{g}" for g in group])
 
 
