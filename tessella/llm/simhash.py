@@ -40,8 +40,11 @@ SEED = 42
 RADIUS = 3
 WORDS = 3
 BITS = 64
-#: Buckets up to this many distinct fingerprints are compared within; larger ones go to the next set of tables.
-BUCKET = 64
+#: Buckets up to this many distinct fingerprints (8 bytes each) are compared within; larger ones go to the next set of tables. Comparing takes a
+#: pass over what isn't linked yet for each node, few passes where nodes are close together, and gives edges of a forest only.
+BUCKET = 1 << 15
+#: Buckets with so few bits left free have at most BUCKET distinct fingerprints. More than the radius: a table may keep none of so few bits.
+FREE = 15
 
 
 def fingerprint(text: str | None, n_words: int = WORDS) -> int:
@@ -132,8 +135,7 @@ class _Buckets:
         self.out[2].extend([None] * len(a))
 
     def _too_large(self, rows: np.ndarray) -> bool:
-        """Buckets with six free bits have at most 64 distinct fingerprints: they are compared within at any rate."""
-        return rows.shape[1] > self.bucket and BITS - (_kept(int(rows[0, 0]), self.radius) & (1 << BITS) - 1).bit_count() > 6
+        return rows.shape[1] > self.bucket and BITS - (_kept(int(rows[0, 0]), self.radius) & (1 << BITS) - 1).bit_count() > FREE
 
     def _bucket(self, rows: np.ndarray) -> None:
         if self._too_large(rows):
