@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from tessella.functions import tables as T
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once and not again wherever body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def clean(text: Column) -> Column:
     """One line: runs of white space are one space, then page marks go. The marks' own spaces stay."""
     lines = F.regexp_replace(text, r"\n+", "\n")

@@ -84,10 +84,16 @@ def flip_verdict(answer: Column, key: Column) -> Column:
     """The opposite verdict, and one threshold of the answer changed to a wrong one."""
     for pattern, put in T.FLIPS:
         answer = F.regexp_replace(answer, pattern, put)
-    there = F.filter(F.array(*[F.when(F.contains(answer, F.lit(p)), F.struct(F.lit(p).alias("old"), choice(key, f"wrong{n}", ps).alias("new"))) for n, (p, ps) in enumerate(T.WRONG_THRESHOLDS)]), lambda x: x.isNotNull())
-    one = F.get(there, draw(key, "threshold", F.greatest(F.size(there), F.lit(1))))
-    at = F.instr(answer, one["old"])
-    return F.when(F.size(there) == 0, answer).otherwise(F.concat(F.substr(answer, F.lit(1), at - 1), one["new"], F.substr(answer, at + F.length(one["old"]))))
+
+    def changed(t: Column, one: Column) -> Column:
+        at = F.instr(t, one["old"])
+        return F.when(one.isNull(), t).otherwise(F.concat(F.substr(t, F.lit(1), at - 1), one["new"], F.substr(t, at + F.length(one["old"]))))
+
+    def threshold(t: Column) -> Column:
+        there = F.filter(F.array(*[F.when(F.contains(t, F.lit(p)), F.struct(F.lit(p).alias("old"), choice(key, f"wrong{n}", ps).alias("new"))) for n, (p, ps) in enumerate(T.WRONG_THRESHOLDS)]), lambda x: x.isNotNull())
+        return X.once(there, lambda found: X.once(F.get(found, draw(key, "threshold", F.greatest(F.size(found), F.lit(1)))), lambda one: changed(t, one)))
+
+    return X.once(answer, threshold)
 
 
 def permute_citations(answer: Column, allowed: Column, key: Column) -> Column:

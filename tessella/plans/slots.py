@@ -20,7 +20,7 @@ def keyword_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message, with a question put behind it, goes to a domain."""
     t = table(spark, sf_dir, "conversations")
     q = F.concat_ws(" ", F.coalesce("text", F.lit("")), F.expr(question_sql("(conv_id * 7 + turn * 5)")))
-    return t.select("conv_id", "turn", S.route(q).alias("domain"))
+    return t.select("conv_id", "turn", q.alias("q")).select("conv_id", "turn", S.route(F.col("q")).alias("domain"))
 
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
