@@ -7,8 +7,14 @@ hashed, over whole texts, and hash-joined with the windows of the benchmark item
 consistent: one value of the item always stands for one value of the document. A consistent alignment that covers enough
 of an item's windows is a leak: `verbatim` if all slots are equal, else `reparameterised`.
 
-Windows with fewer than MIN_LITERALS words that are no placeholders say nothing about an item and aren't used. Items of
-equal text are one item, the one of the smallest id. An item with fewer tokens than a window is one window of its own size.
+Template windows with fewer than MIN_LITERALS words that are no placeholders say nothing about an item and aren't used.
+
+Case decides which words are names, so copies in another case share few template windows with their item, and items in
+capitals or of names and numbers have none. Every item therefore also has literal windows: the case-folded words
+themselves, without placeholders and without a minimum. Their alignments need the same cover, of the item's literal windows, and
+are `verbatim`. Where both kinds align at one shift, the template windows judge. Of several shifts the one with most windows counts.
+
+Items of equal text are one item, the one of the smallest id. An item with fewer tokens than a window is one window of its own size.
 
 Windows of documents are made in Python on whole Arrow batches. If the items have at most FILTER_WINDOWS distinct
 windows (counted), their hashes (8 bytes each) go to the tasks, which then only emit windows that will find a partner;
@@ -21,6 +27,7 @@ result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +57,7 @@ _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so they have inverses modulo 2^64
 NUM, NAME, UNIT = (np.uint64(x) for x in (11, 13, 17))
+LITERAL = np.uint64(1 << 32)  # keeps hashes of literal windows apart from those of template windows
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,10 +88,12 @@ class Tokens:
         n = len(self.start)
         if not n:
             self.hash, self.slot = np.empty(0, np.uint64), np.empty(0, bool)
+            self.words = self.hash
             return
         total = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[self.data] * _powers(_P, len(self.data)))))
         back = _powers(pow(_P, -1, 1 << 64), len(self.data))
         self.hash = _mix((total[self.stop] - total[self.start]) * back[self.start] + (self.stop - self.start).astype(np.uint64))
+        self.words = self.hash
         digits = np.concatenate(([0], np.cumsum(_DIGIT[self.data])))
         number = digits[self.stop] > digits[self.start]
         first, second = self.data[self.start], self.data[np.minimum(self.start + 1, len(self.data) - 1)]
@@ -92,21 +102,27 @@ class Tokens:
         self.hash = np.select([number, unit, name], [NUM, UNIT, NAME], self.hash)
         self.slot = number | unit | name
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every window, and the number of its first token; windows don't cross documents."""
+    def windows(self, size: int, literal: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every window, of placeholders or of words alone, and the number of its first token; windows don't cross documents."""
+        tokens = self.words if literal else self.hash
         n = len(self.hash) - size + 1
         if n <= 0:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         h = np.zeros(n, np.uint64)
         for k in range(size):
-            h = h * np.uint64(_Q) + self.hash[k : k + n]
+            h = h * np.uint64(_Q) + tokens[k : k + n]
         at = np.flatnonzero(self.doc[:n] == self.doc[size - 1 :])
-        return _mix(h[at] + np.uint64(size)), at
+        return _mix(h[at] + np.uint64(size) + (LITERAL if literal else np.uint64(0))), at
 
     def slots(self, at: int, size: int) -> list[str]:
         return [self.data[self.start[k] : self.stop[k]].tobytes().decode("utf-8", "replace") for k in range(at, at + size) if self.slot[k]]
 
 
+def folded(texts: list[bytes], tokens: Tokens) -> Tokens:
+    """The tokens of the case-folded texts, number by number those of the texts; A-Z alone is folded in every hash already."""
+    return tokens if all(t.isascii() for t in texts) else Tokens([t.decode().casefold().encode() for t in texts])
+
+
 _units: list[np.ndarray] = []
 
 
@@ -117,8 +133,8 @@ def _unit_hashes() -> np.ndarray:
     return _units[0]
 
 
-HIT = "id long, at long, size int, hash long, slots array<string>"
-_HIT = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
+HIT = "id long, at long, size int, literal boolean, hash long, slots array<string>"
+_HIT = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("literal", pa.bool_()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
 CHUNK = 4 << 20
 
 
@@ -144,15 +160,16 @@ def doc_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None, te
         for b in batches:
             for ids, texts in _chunks(b.column("id").to_pylist(), b.column("text")):
                 t, out = Tokens(texts), []
+                f = folded(texts, t)
                 first = np.searchsorted(t.doc, np.arange(len(texts)))
-                for size in sizes:
-                    h, at = t.windows(size)
+                for size, literal in itertools.product(sizes, (False, True)):
+                    h, at = (f if literal else t).windows(size, literal)
                     h = h.view(np.int64)
                     if wanted is not None:
                         k = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h)
                         h, at = h[k], at[k]
                     d = t.doc[at]
-                    out += [{"id": ids[x], "at": p - first[x], "size": size, "hash": y, "slots": t.slots(p, size)} for x, p, y in zip(d.tolist(), at.tolist(), h.tolist(), strict=True)]
+                    out += [{"id": ids[x], "at": p - first[x], "size": size, "literal": literal, "hash": y, "slots": [] if literal else t.slots(p, size)} for x, p, y in zip(d.tolist(), at.tolist(), h.tolist(), strict=True)]
                 for k in range(0, len(out), 20000):
                     yield pa.RecordBatch.from_pylist(out[k : k + 20000], schema=_HIT)
 
@@ -160,20 +177,24 @@ def doc_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None, te
 
 
 def item_windows(items: DataFrame, window: int, text: str, item_id: str) -> DataFrame:
-    """HIT of every item's windows that have enough literal words, with the item's number of windows, n. Items of equal text are one."""
+    """HIT of every item's literal windows and of its template windows that have enough literal words, with the item's number of windows of
+    the kind, n. Items of equal text are one."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for i, s in zip(b.column("id").to_pylist(), b.column("text"), strict=True):
-                t = Tokens([(s.as_py() or "").encode()])
+                texts = [(s.as_py() or "").encode()]
+                t = Tokens(texts)
                 size = min(window, len(t.hash))
                 if not size:
                     continue
                 h, at = t.windows(size)
                 literal = np.concatenate(([0], np.cumsum(~t.slot)))
                 use = np.flatnonzero(literal[at + size] - literal[at] >= min(MIN_LITERALS, size))
-                out += [{"id": i, "at": int(at[k]), "size": size, "hash": int(h.view(np.int64)[k]), "slots": t.slots(at[k], size), "n": len(use)} for k in use]
+                out += [{"id": i, "at": int(at[k]), "size": size, "literal": False, "hash": int(h.view(np.int64)[k]), "slots": t.slots(at[k], size), "n": len(use)} for k in use]
+                h, at = folded(texts, t).windows(size, True)
+                out += [{"id": i, "at": a, "size": size, "literal": True, "hash": x, "slots": [], "n": len(at)} for a, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
             yield pa.RecordBatch.from_pylist(out, schema=_HIT.append(pa.field("n", pa.int64())))
 
     one = items.groupBy(items[text].alias("text")).agg(F.min(items[item_id].cast("long")).alias("id"))
@@ -190,13 +211,14 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_cover: fl
     if n <= filter_windows:
         wanted = np.sort(np.array([r[0] for r in hashes.collect()], np.int64)) if n else np.zeros(1, np.int64)
     hits = doc_windows(docs, sizes, wanted, text, doc_id)
-    it = bench.select(F.col("id").alias("item_id"), F.col("at").alias("i_at"), F.col("size").alias("i_size"), F.col("hash").alias("i_hash"), F.col("slots").alias("i_slots"), "n")
-    met = hits.join(it, (F.col("hash") == F.col("i_hash")) & (F.col("size") == F.col("i_size")))
+    it = bench.select(F.col("id").alias("item_id"), F.col("at").alias("i_at"), F.col("size").alias("i_size"), F.col("literal").alias("i_literal"), F.col("hash").alias("i_hash"), F.col("slots").alias("i_slots"), "n")
+    met = hits.join(it, (F.col("hash") == F.col("i_hash")) & (F.col("size") == F.col("i_size")) & (F.col("literal") == F.col("i_literal")))
     # One alignment holds at most an item's windows, each with its slots: groups are bounded by the item's length.
     pairs = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("i_slots").alias("i"), F.col("slots").alias("d")))))
-    lined = met.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("i_at")).alias("shift")).agg(F.count_distinct("i_at").alias("n_windows"), F.max("n").alias("n"), pairs.alias("p"))
+    lined = met.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("at") - F.col("i_at")).alias("shift"), "literal").agg(F.count_distinct("i_at").alias("n_windows"), F.max("n").alias("n"), pairs.alias("p"))
     values = F.transform("p", lambda x: x["i"])
     lined = lined.withColumn("cover", F.col("n_windows") / F.col("n")).where((F.size(F.array_distinct(values)) == F.size("p")) & (F.col("cover") >= min_cover))
     verdict = F.when(F.forall("p", lambda x: x["i"] == x["d"]), "verbatim").otherwise("reparameterised")
-    best = lined.select("doc_id", "item_id", F.struct("n_windows", verdict.alias("verdict"), "cover").alias("x")).groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
+    best = lined.groupBy("doc_id", "item_id", "shift").agg(F.max(F.struct((~F.col("literal")).alias("template"), "n_windows", "cover", "p")).alias("x")).select("doc_id", "item_id", "x.*")
+    best = best.select("doc_id", "item_id", F.struct("n_windows", verdict.alias("verdict"), "cover").alias("x")).groupBy("doc_id", "item_id").agg(F.max("x").alias("x"))
     return best.select("doc_id", "item_id", "x.verdict", "x.n_windows", "x.cover")

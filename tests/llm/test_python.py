@@ -340,3 +340,18 @@ def test_decontaminate_table(spark):
     got = leak_rows(decontaminate.leaks(docs, items))
     want = brute_leaks([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()])
     assert got == want and got
+
+
+@pytest.mark.parametrize("limit", [decontaminate.FILTER_WINDOWS, 0])
+def test_decontaminate_in_another_case(spark, limit):
+    german = "Der Bäcker Müller verkauft täglich über 40 große Brötchen, und Frau Öztürk kauft davon jeden Morgen genau ein Viertel für ihre Gäste"
+    items = [(1, QUESTION), (2, german), (3, "WHICH OF THESE RIVERS FLOWS THROUGH MORE THAN FOUR COUNTRIES ON ITS WAY TO THE SEA"), (4, "Anna 12 Bob 13 Carl 14 Dora 15 Emil 16 Fritz 17 Gerda 18")]
+    cases = [str, str.upper, str.lower, str.title]
+    docs = [(10 * i + k, f"some words before. {f(t)} and after") for i, t in items for k, f in enumerate(cases)]
+    docs += [(100, "Anna 12 Bob 13 Carl 99 Dora 15 Emil 16 Fritz 17 Hans 18"), (101, "UNRELATED WORDS " * 40)]
+    twice = QUESTION.replace("Alice Smith", "Carla Jones").replace("12 km", "7 miles")
+    docs += [(102, twice), (103, twice + " " + QUESTION.upper())]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = leak_rows(decontaminate.leaks(d, i, filter_windows=limit))
+    assert set(got) == {(10 * i + k, i) for i, _ in items for k in range(4)} | {(102, 1), (103, 1)}
+    assert {v for k, (_, v) in got.items() if k[0] != 102} == {"verbatim"} and got[102, 1][1] == "reparameterised"
