@@ -10,11 +10,12 @@ Equal fingerprints are one node, with the smallest document id. A bucket of a fe
 larger bucket isn't: its nodes go through the tables of another set of vectors, under the bits kept so far, where
 again every link meets in some table; this repeats until buckets are small, or keep all but few bits, which bounds
 the distinct nodes they can have. Buckets give the edges of a spanning forest of their links, not all pairs. A level is one
-exchange of (path, masked fingerprint, fingerprint) and one pass over sorted rows, which holds one bucket at most.
+exchange of (path, fingerprint), from which the masked fingerprint follows, and one pass over sorted rows, which holds one bucket at most.
 Components come from min-label contraction over these edges, each round written to the shared folder.
 
 With a wide radius, unrelated fingerprints link by chance in a large corpus. `check_words` adds a second fingerprint, of
-shingles of that many words; edges whose second fingerprints differ in more than `check_radius` bits are dropped.
+shingles of that many words, which is exchanged with the first; only what is also within `check_radius` bits by it is a link, and
+forests span these links. A node's second fingerprint is that of its document of the smallest id.
 
 Defined results: a text without words, null included, has fingerprint 0 and links like any other. A text of fewer
 words than a shingle is one shingle. Equal rows are equal fingerprints. A null id is larger than all others. An empty
@@ -86,8 +87,8 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS, level: int = 0) -> li
     return masks
 
 
-def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Places of the edges of a spanning forest of the links among distinct fingerprints."""
+def _forest(fps: np.ndarray, radius: int, checks: np.ndarray | None = None, check_radius: int = BITS) -> list[tuple[int, int]]:
+    """Places of the edges of a spanning forest of the links among distinct fingerprints: within both radii, if there are checks."""
     left = np.arange(len(fps))
     out: list[tuple[int, int]] = []
     while len(left):
@@ -95,6 +96,8 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         while front and len(left):
             a = front.pop()
             near = np.bitwise_count(fps[left] ^ fps[a]) <= radius
+            if checks is not None:
+                near[near] = np.bitwise_count(checks[left[near]] ^ checks[a]) <= check_radius
             for b in left[near].tolist():
                 out.append((a, b))
                 front.append(b)
@@ -114,19 +117,31 @@ def _kept(path: int, radius: int) -> int:
     return kept
 
 
+def _masked(radius: int, level: int) -> Column:
+    """The bits of fp that the tables of a path of that level keep."""
+    tables, path, kept = (1 << (radius + 1)) - 1, "path", None
+    for k in range(level, -1, -1):
+        masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius, level=k)])
+        m = F.element_at(masks, F.expr(f"int(({path} - 1) % {tables}) + 1"))
+        kept, path = m if kept is None else kept.bitwiseOR(m), f"(({path} - 1) div {tables})"
+    return F.col("fp").bitwiseAND(kept)
+
+
 class _Buckets:
-    """Turns sorted rows (path, masked, fp), in pieces, into edges (fp, fp, null) and, for buckets that are too large, open nodes (fp, kept bits, path)."""
+    """Turns sorted rows (path, masked, fp) or, with a check_radius, (path, masked, fp, check), in pieces, into edges (fp, fp, null) and, for
+    buckets that are too large, open nodes (fp, check or 0, path)."""
 
-    def __init__(self, radius: int, bucket: int):
-        self.radius, self.bucket = radius, bucket
-        self.carry = np.empty((3, 0), np.int64)
+    def __init__(self, radius: int, bucket: int, check_radius: int | None = None):
+        self.radius, self.bucket, self.check_radius = radius, bucket, check_radius
+        self.none = np.empty((3 if check_radius is None else 4, 0), np.int64)
+        self.carry = self.none
         self.large: tuple | None = None  # the key of a large bucket whose rows still come
         self.out: tuple[list, list, list] = ([], [], [])
 
     def _open(self, rows: np.ndarray) -> None:
         path = int(rows[0, 0])
         self.out[0].extend(rows[2].tolist())
-        self.out[1].extend([_kept(path, self.radius)] * rows.shape[1])
+        self.out[1].extend([0] * rows.shape[1] if self.check_radius is None else rows[3].tolist())
         self.out[2].extend([path] * rows.shape[1])
 
     def _edges(self, a: list, b: list) -> None:
@@ -142,7 +157,8 @@ class _Buckets:
             self._open(rows)
         else:
             f = rows[2].tolist()
-            pairs = _forest(rows[2].view(np.uint64), self.radius)
+            checks = () if self.check_radius is None else (rows[3].view(np.uint64), self.check_radius)
+            pairs = _forest(rows[2].view(np.uint64), self.radius, *checks)
             self._edges([f[x] for x, _ in pairs], [f[y] for _, y in pairs])
 
     def add(self, rows: np.ndarray) -> None:
@@ -161,7 +177,7 @@ class _Buckets:
         self.carry = rows[:, starts[-1] :]
         if self._too_large(self.carry):
             self._open(self.carry)
-            self.large, self.carry = (int(self.carry[0, 0]), int(self.carry[1, 0])), np.empty((3, 0), np.int64)
+            self.large, self.carry = (int(self.carry[0, 0]), int(self.carry[1, 0])), self.none
 
     def end(self) -> None:
         if self.carry.shape[1] > 1:
@@ -171,6 +187,8 @@ class _Buckets:
         sizes = np.diff(starts)
         two = starts[:-1][sizes == 2]
         near = two[np.bitwise_count((rows[2][two] ^ rows[2][two + 1]).view(np.uint64)) <= self.radius]
+        if self.check_radius is not None:
+            near = near[np.bitwise_count((rows[3][near] ^ rows[3][near + 1]).view(np.uint64)) <= self.check_radius]
         self._edges(rows[2][near].tolist(), rows[2][near + 1].tolist())
         for k in np.flatnonzero(sizes > 2).tolist():
             self._bucket(rows[:, starts[k] : starts[k + 1]])
@@ -185,31 +203,32 @@ class _Buckets:
 PART_ROWS = 400_000
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b), a > b, between nodes (distinct fp) that connect exactly what links within the radius connect."""
+def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, check_radius: int | None = None) -> DataFrame:
+    """Edges (a, b), a > b, between nodes (distinct fp; check, if there is a check_radius) that connect exactly what links within the radius,
+    or within both, connect."""
+    carried = ["fp"] if check_radius is None else ["fp", "check"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _Buckets(radius, bucket)
+        found = _Buckets(radius, bucket, check_radius)
         for b in batches:
             if b.num_rows:
-                found.add(np.stack([b.column(c).to_numpy() for c in ("path", "masked", "fp")]))
+                found.add(np.stack([b.column(c).to_numpy() for c in ("path", "masked", *carried)]))
                 yield found.flush()
         found.end()
         yield found.flush()
 
     spark, edges = nodes.sparkSession, []
     tables = (1 << (radius + 1)) - 1
-    now = nodes.select("fp", F.lit(0).cast("long").alias("kept"), F.lit(0).cast("long").alias("path"))
+    now = nodes.select(*carried, F.lit(0).cast("long").alias("path"))
     n = nodes.count()
     for level in itertools.count():
-        masks = F.array(*[F.struct(F.lit(k).alias("t"), F.lit(m).alias("m")) for k, m in enumerate(covering_masks(radius, level=level))])
-        rows = now.repartition(max(1, -(-n * tables // PART_ROWS))).select("fp", "kept", "path", F.explode(masks).alias("x"))
+        rows = now.repartition(max(1, -(-n * tables // PART_ROWS))).select(*carried, "path", F.explode(F.sequence(F.lit(1), F.lit(tables))).alias("t"))
         # The whole path of tables is part of a bucket's key, as the bits kept depend on it.
-        rows = rows.select((F.col("path") * tables + F.col("x.t") + 1).alias("path"), F.col("fp").bitwiseAND(F.col("kept").bitwiseOR(F.col("x.m"))).alias("masked"), "fp")
+        rows, masked = rows.select((F.col("path") * tables + F.col("t")).alias("path"), *carried), _masked(radius, level)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * tables // PART_ROWS))
-        found = materialise(rows.repartition(parts, "path", "masked").sortWithinPartitions("path", "masked", "fp").mapInArrow(of, "a long, b long, path long"), "simhash-level")
+        found = materialise(rows.repartition(parts, "path", masked).withColumn("masked", masked).sortWithinPartitions("path", "masked", "fp").mapInArrow(of, "a long, b long, path long"), "simhash-level")
         edges.append(found.where("path IS NULL").select("a", "b"))
-        now = found.where("path IS NOT NULL").select(F.col("a").alias("fp"), F.col("b").alias("kept"), "path")
+        now = found.where("path IS NOT NULL").select(F.col("a").alias("fp"), *[F.col("b").alias(c) for c in carried[1:]], "path")
         n = now.count()
         if not n:
             break
@@ -254,11 +273,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     fps = materialise(fingerprints(docs, text, doc_id, n_words, check_words), "simhash-fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "check"))
     nodes = materialise(fps.groupBy("fp").agg(first.alias("x")).select("fp", F.col("x.doc_id").alias("id"), F.col("x.check").alias("check")), "simhash-nodes")
-    edges = links(nodes, radius)
-    if check_words:
-        side = lambda c: nodes.select(F.col("fp").alias(c), F.col("check").alias(f"_{c}"))
-        near = F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) <= check_radius
-        edges = edges.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
+    edges = links(nodes, radius, check_radius=check_radius if check_words else None)
     found = components(edges).withColumnRenamed("id", "fp")
     found = found.unionByName(found.select(F.col("component").alias("fp"), "component").distinct())
     label = materialise(nodes.join(found, "fp"), "simhash-labels")

@@ -254,6 +254,49 @@ def test_simhash_wide_radius_with_a_check(spark):
     assert all((checks[i] ^ checks[c]).bit_count() <= 16 or fps[i] == fps[c] for i, c in got.items()) and set(got.values()) >= set(want.values())
 
 
+def brute_checked(fps, checks, radius, check_radius=16):
+    """Components, by smallest id, of links within both radii."""
+    label = {i: i for i in fps}
+    near = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= radius and (checks[a] ^ checks[b]).bit_count() <= check_radius]
+    while any(label[a] != label[b] for a, b in near):
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_simhash_check_fails_between_links(spark, monkeypatch):
+    """x and y link; h is within reach of both, in every bucket they share, but the check tells it from both."""
+    import random
+
+    r, fps, checks = random.Random(5), {}, {}
+    for k in range(0, 120, 3):
+        bits = r.sample(range(64), 7)
+        x, c = r.getrandbits(64), r.getrandbits(64)
+        fps |= {k: x, k + 1: x ^ sum(1 << b for b in bits), k + 2: x ^ sum(1 << b for b in bits[:3])}
+        checks |= {k: c, k + 1: c ^ 5, k + 2: c ^ (1 << 32) - 1}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    made = spark.createDataFrame([(i, signed(fps[i]), signed(checks[i])) for i in fps], "doc_id long, fp long, check long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: made)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(made.withColumnRenamed("fp", "text"), radius=7, check_words=2).collect()}
+    want = brute_checked(fps, checks, 7)
+    assert got == want and all(want[k + 1] == k and want[k + 2] == k + 2 for k in range(0, 120, 3))
+
+
+def test_simhash_large_buckets_with_a_check(spark):
+    import random
+
+    r = random.Random(4)
+    centres, sides = [r.getrandbits(64) for _ in range(2)], [r.getrandbits(64) for _ in range(3)]
+    flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
+    nodes = {flip(centres[i % 2], r.choice([0, 1, 2, 3, 5])): flip(sides[i % 3], r.choice([2, 6, 10])) for i in range(400)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(f), signed(c)) for f, c in nodes.items()], "fp long, check long")
+    want = brute_checked({signed(f): f for f in nodes}, {signed(f): c for f, c in nodes.items()}, 3)
+    for bucket in (8, 1000):
+        label = {r["id"]: r["component"] for r in simhash.components(simhash.links(df, bucket=bucket, check_radius=16)).collect()}
+        assert {i: label.get(i, i) for i in want} == want
+
+
 def test_buckets_over_batches():
     """Large buckets that come in pieces go on whole."""
     import numpy as np
