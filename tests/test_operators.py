@@ -41,6 +41,20 @@ def test_knn_in_blocks(spark, monkeypatch):
     assert sorted(got) == sorted(want)
 
 
+def test_knn_copies(spark):
+    """More copies of one embedding, or equal scores after rounding, than any fixed number of candidates: the smallest ids come."""
+    r = random.Random(2)
+    v = [(i, [1.0, 2.0, 3.0]) for i in range(200)] + [(i, [1.0 + r.random() * 1e-5, 2.0, 4.0]) for i in range(200, 400)]
+    r.shuffle(v)
+    df = spark.createDataFrame(v, "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 4.0]), (3, [1000.0, 2000.0, 3000.0])], "query_id long, embedding array<float>")
+    got = {(x["query_id"], x["rank"]): x["vec_id"] for x in retrieve.knn(df, q, 5).collect()}
+    assert [got[1, k] for k in range(1, 6)] == [0, 1, 2, 3, 4] and [got[2, k] for k in range(1, 6)] == [200, 201, 202, 203, 204]
+    far = sorted((round(sum((x - y) ** 2 for x, y in zip((1000.0, 2000.0, 3000.0), e, strict=True)), 6), i) for i, e in ((x["vec_id"], x["embedding"]) for x in df.collect()))
+    assert [got[3, k] for k in range(1, 6)] == [i for _, i in far[:5]]
+    assert retrieve.knn(df, q, 500).count() == 1200
+
+
 def test_supersession_chain(spark):
     h = spark.createDataFrame([(1, "A", "B", 1), (1, "B", "C", 2), (1, "C", "", 3), (1, "D", None, 4), (1, "E", "E", 5), (2, "B", None, 1)], "query_id long, doc_id string, supersedes string, rank int")
     assert sorted((r["query_id"], r["doc_id"]) for r in retrieve.not_superseded(h).collect()) == [(1, "A"), (1, "D"), (2, "B")]
