@@ -1,8 +1,8 @@
 """A corpus pipeline of five of the operators: quality rules, SimHash near-dedup, benchmark decontamination, secret scans, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's
-docs. All but the last return the columns of documents. Documents without an id can't be named by a verdict, so only the
-quality rules can remove them.
+docs. All but the last return the columns of documents. Verdicts of near-dedup and decontamination are on rows, by a hash of id and text, so
+a row of the same id and another text isn't touched. Near copies without an id, and near copies of each other under one id, stay.
 """
 
 from __future__ import annotations
@@ -24,16 +24,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 RADIUS, CHECK_WORDS = 7, 2
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked fingerprints the document of the smallest id stays; of equal rows, one."""
-    gone = simhash.near_duplicates(docs, radius=RADIUS, check_words=CHECK_WORDS).where("component_id != doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).distinct()
+    rows = keyed(docs)
+    gone = simhash.near_duplicates(rows, radius=RADIUS, check_words=CHECK_WORDS, key="_key").where("component_id != doc_id").select(F.col("key").alias("_key"))
+    return rows.join(gone, "_key", "left_anti").select(*docs.columns).distinct()
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item, verbatim or with other slots, go."""
-    leaks = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    leaks = decontaminate.leaks(rows, table(spark, sf_dir, "benchmark"), doc_id="_key").select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(leaks, "_key", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,15 +63,16 @@ def fingerprint(text: str | None, n_words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = WORDS, check_words: int | None = None) -> DataFrame:
-    """(doc_id, fp, check): fingerprints as signed longs; check is null without check_words."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = WORDS, check_words: int | None = None, key: str | None = None) -> DataFrame:
+    """(doc_id, fp, check), with key (a long) if one is named: fingerprints as signed longs; check is null without check_words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [pa.array(np.array([fingerprint(t.as_py(), n) for t in b.column("text")], dtype=np.uint64).view(np.int64)) if n else pa.nulls(b.num_rows, pa.int64()) for n in (n_words, check_words)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made], names=["doc_id", "fp", "check"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made, *([b.column("key")] if key else [])], names=["doc_id", "fp", "check", *["key"] * bool(key)])
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(of, "doc_id long, fp long, check long")
+    own = [docs[key].alias("key")] if key else []
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), *own).mapInArrow(of, "doc_id long, fp long, check long" + ", key long" * bool(key))
 
 
 @functools.cache
@@ -268,9 +269,9 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = WORDS, radius: int = RADIUS, check_words: int | None = None, check_radius: int = 16) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of docs."""
-    fps = materialise(fingerprints(docs, text, doc_id, n_words, check_words), "simhash-fp")
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = WORDS, radius: int = RADIUS, check_words: int | None = None, check_radius: int = 16, key: str | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of docs, with key if a column of the rows' own keys (longs) is named."""
+    fps = materialise(fingerprints(docs, text, doc_id, n_words, check_words, key), "simhash-fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "check"))
     nodes = materialise(fps.groupBy("fp").agg(first.alias("x")).select("fp", F.col("x.doc_id").alias("id"), F.col("x.check").alias("check")), "simhash-nodes")
     edges = links(nodes, radius, check_radius=check_radius if check_words else None)
@@ -280,4 +281,4 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     least = label.groupBy("component").agg(F.min("id").alias("component_id"))
     owner = label.join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
     alone = nodes.select("fp", "id").join(owner, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "id").alias("component_id"))
-    return fps.join(alone, F.col("fp") == F.col("_fp"), "left").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    return fps.join(alone, F.col("fp") == F.col("_fp"), "left").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", *["key"] * bool(key))

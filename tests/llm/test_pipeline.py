@@ -87,3 +87,15 @@ def test_edges(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_verdicts_are_on_rows(spark):
+    """Of two texts under one id only the copy or leak goes; a leak without an id goes too."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    copy, other = " ".join(f"w{k}" for k in range(80)), " ".join(f"other{k} word{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, copy), (2, copy), (2, other), (3, item), (3, other + " more"), (None, item)], "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in stages["SimHash near-dedup"](spark, docs.where("doc_id < 3"), SF).collect())
+    assert got == [(1, copy), (2, other)]
+    got = sorted((r["doc_id"], r["text"]) for r in stages["benchmark decontamination"](spark, docs, SF).collect())
+    assert got == sorted([(1, copy), (2, copy), (2, other), (3, other + " more")])
