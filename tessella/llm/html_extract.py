@@ -31,9 +31,11 @@ TREES, DEPTH, RATE, BINS, VOCABULARY = 90, 4, 0.2, 32, 150
 #: Share of the nodes that each tree is fitted to.
 SUBSAMPLE = 0.3
 
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark math nobr object q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style title textarea template iframe noframes noembed svg math object".split())
+HIDDEN = frozenset("script style title textarea template iframe noframes noembed".split())
+#: Elements whose own vocabulary, all but what HTML has too, is inline.
+FOREIGN = frozenset("math svg".split())
 #: What a start tag ends, if it is open and no barrier is in between.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 BARRIER = frozenset("ul ol dl table body html article section div main nav aside select".split())
@@ -92,7 +94,7 @@ class Tree:
                 self._linked += len(s)
 
     def _read(self, page: str) -> None:
-        at, size = 0, len(page)
+        at, size, foreign = 0, len(page), 0
         while at < size:
             m = TAG.search(page, at)
             if not m:
@@ -108,10 +110,12 @@ class Tree:
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                     at = end.end() if end else size
                 continue
-            if tag in INLINE:
+            if tag in FOREIGN and not m[3].endswith("/"):
+                foreign = max(0, foreign - 1) if m[1] else foreign + 1
+            if tag in INLINE or foreign and tag not in GROUPS:
                 if tag == "a":
                     self._in_link = not m[1]
-                elif tag == "br":
+                elif tag == "br" or foreign and tag in ("text", "mtd"):
                     self._parts.append(" ")
                 continue
             if m[1]:

@@ -57,6 +57,16 @@ def test_extract_edges(spark, extractor):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_math_svg_and_object_are_read(extractor):
+    runs = lambda page: [t for t in html_extract.Tree(page).text if t]
+    assert runs("<p>Let <math><mi>x</mi><mo>+</mo><mn>1</mn></math> be</p><p>so</p>") == ["Let x+1 be", "so"]
+    assert runs('<p>See <svg><title>no</title><path d="M0"/><text>one</text><text>two</text></svg></p>') == ["See one two"]
+    assert runs("<object data=x><p>fallback</p></object><svg><g><p>rest</p><div>more</div>") == ["fallback", "rest", "more"]
+    say = "A long enough sentence, of ordinary words, that says something. " * 4
+    got = extractor([f"<article><p>{say}<math><mi>E</mi><mo>=</mo><mi>mc</mi></math> holds.</p><p>{say}<svg>open</p><p>{say}last</p></article>"])[0]
+    assert "E=mc holds." in got and got.endswith("last")
+
+
 def test_decoding_never_contradicts_and_is_best():
     import itertools
 
