@@ -13,13 +13,17 @@ the distinct nodes they can have. Buckets give the edges of a spanning forest of
 exchange of (path, fingerprint), from which the masked fingerprint follows, and one pass over sorted rows, which holds one bucket at most.
 Components come from min-label contraction over these edges, each round written to the shared folder.
 
-With a wide radius, unrelated fingerprints link by chance in a large corpus. `check_words` adds a second fingerprint, of
+With a wide radius, unrelated fingerprints link by chance in a large corpus. `check_words` adds a check fingerprint, of
 shingles of that many words, which is exchanged with the first; only what is also within `check_radius` bits by it is a link, and
-forests span these links. A node's second fingerprint is that of its document of the smallest id.
+forests span these links. A node's check fingerprint is that of its document of the smallest id.
+
+`rounds` takes several independent fingerprints of the same shingles, each with tables of its own: documents link if one of them does.
+The chance to miss a similar pair falls with every round, where a wider radius doubles the tables for each bit. Components then run over
+the values of all rounds, joined by the documents that have them; values are told apart by 64-bit hashes of (round, value).
 
 Defined results: a text without words, null included, has fingerprint 0 and links like any other. A text of fewer
-words than a shingle is one shingle. Equal rows are equal fingerprints. A null id is larger than all others. An empty
-table gives an empty result.
+words than a shingle is one shingle. Texts of any length are read whole, 65535 shingles at a time. Equal rows are equal fingerprints. A null
+id is larger than all others. An empty table gives an empty result. Other columns aren't carried and may have any name.
 """
 
 from __future__ import annotations
@@ -48,31 +52,63 @@ BUCKET = 1 << 15
 FREE = 15
 
 
-def fingerprint(text: str | None, n_words: int = WORDS) -> int:
-    """The unsigned 64-bit fingerprint of a text."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lower-cases A-Z and splits at ASCII white space only
-    if not w:
-        return 0
-    k = min(n_words, len(w))
-    ends = np.cumsum([len(x) + 1 for x in w]).tolist()
-    starts, line, digest = [0, *ends], b" ".join(w), xxhash.xxh64_intdigest
-    h = np.array([digest(line[starts[i] : ends[i + k - 1] - 1], SEED) for i in range(len(w) - k + 1)], dtype=">u8")
+#: What a round adds to the shingles' hashes before they are mixed; round 0 takes them as they are.
+STEP = 0x9E3779B97F4A7C15
+
+
+def shingle_hashes(words: list[bytes], n_words: int) -> np.ndarray:
+    k = min(n_words, len(words))
+    ends = np.cumsum([len(x) + 1 for x in words]).tolist()
+    starts, line, digest = [0, *ends], b" ".join(words), xxhash.xxh64_intdigest
+    return np.array([digest(line[starts[i] : ends[i + k - 1] - 1], SEED) for i in range(len(words) - k + 1)], dtype=np.uint64)
+
+
+def mixed(h: np.ndarray, round_: int) -> np.ndarray:
+    """The hashes of a round: a bijection of 64 bits (the finaliser of a splittable generator), so that rounds are as good as independent."""
+    if not round_:
+        return h
+    h = h + np.uint64(round_ * STEP & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def majority(h: np.ndarray) -> int:
     ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    for at in range(0, len(h), 65535):
+        ones += np.add.reduce(np.unpackbits(h[at : at + 65535].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.uint16)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = WORDS, check_words: int | None = None, key: str | None = None) -> DataFrame:
-    """(doc_id, fp, check), with key (a long) if one is named: fingerprints as signed longs; check is null without check_words."""
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lower-cases A-Z and splits at ASCII white space only
+
+
+def fingerprint(text: str | None, n_words: int = WORDS, round_: int = 0) -> int:
+    """The unsigned 64-bit fingerprint of a text."""
+    w = words_of(text)
+    return majority(mixed(shingle_hashes(w, n_words), round_)) if w else 0
+
+
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = WORDS, check_words: int | None = None, key: str | None = None, rounds: int = 1) -> DataFrame:
+    """(doc_id, fp, check), with key (a long) if one is named, and fp1, fp2, ... of further rounds: fingerprints as signed longs; check is null without check_words."""
+
+    def prints(t: str | None) -> list[int]:
+        w = words_of(t)
+        if not w:
+            return [0] * (rounds + 1)
+        h = shingle_hashes(w, n_words)
+        return [*(majority(mixed(h, r)) for r in range(rounds)), majority(shingle_hashes(w, check_words)) if check_words else 0]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [pa.array(np.array([fingerprint(t.as_py(), n) for t in b.column("text")], dtype=np.uint64).view(np.int64)) if n else pa.nulls(b.num_rows, pa.int64()) for n in (n_words, check_words)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made, *([b.column("key")] if key else [])], names=["doc_id", "fp", "check", *["key"] * bool(key)])
+            made = np.array([prints(t.as_py()) for t in b.column("text")], dtype=np.uint64).reshape(-1, rounds + 1).view(np.int64)
+            check = pa.array(made[:, rounds]) if check_words else pa.nulls(b.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made[:, 0]), check, *([b.column("key")] if key else []), *(pa.array(made[:, r]) for r in range(1, rounds))], names=names)
 
     own = [docs[key].alias("key")] if key else []
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), *own).mapInArrow(of, "doc_id long, fp long, check long" + ", key long" * bool(key))
+    names = ["doc_id", "fp", "check", *["key"] * bool(key), *[f"fp{r}" for r in range(1, rounds)]]
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"), *own).mapInArrow(of, ", ".join(f"{n} long" for n in names))
 
 
 @functools.cache
@@ -253,31 +289,49 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, F.col("a") == F.col("u"))
         return small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b").distinct()
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def stars(e: DataFrame) -> bool:
+        """Every id has one smallest id, which is no id with a smaller one: then nothing is left to do."""
+        roots = e.select(F.col("b").alias("a")).distinct()
+        return e.groupBy("a").count().where("count > 1").isEmpty() and e.join(roots, "a", "left_semi").isEmpty()
 
-    before = state(edges)
-    while True:
+    while not stars(edges):
         edges = materialise(star(edges), "components")
-        after = state(edges)
-        if after == before:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        before = after
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
 def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = WORDS, radius: int = RADIUS, check_words: int | None = None, check_radius: int = 16, key: str | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of docs, with key if a column of the rows' own keys (longs) is named."""
-    fps = materialise(fingerprints(docs, text, doc_id, n_words, check_words, key), "simhash-fp")
+def _nodes(fps: DataFrame, fp: str) -> DataFrame:
+    """(fp, id, check): the distinct values with their smallest id and its check fingerprint."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "check"))
-    nodes = materialise(fps.groupBy("fp").agg(first.alias("x")).select("fp", F.col("x.doc_id").alias("id"), F.col("x.check").alias("check")), "simhash-nodes")
-    edges = links(nodes, radius, check_radius=check_radius if check_words else None)
-    found = components(edges).withColumnRenamed("id", "fp")
-    found = found.unionByName(found.select(F.col("component").alias("fp"), "component").distinct())
-    label = materialise(nodes.join(found, "fp"), "simhash-labels")
+    return materialise(fps.groupBy(F.col(fp).alias("fp")).agg(first.alias("x")).select("fp", F.col("x.doc_id").alias("id"), F.col("x.check").alias("check")), "simhash-nodes")
+
+
+def _across(fps: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """Edges of all rounds as one graph. A vertex is a value of a round; a document's vertices hang together by that of round 0, as far as
+    they are in a link or several documents' values of round 0 share them."""
+    vertex = lambda r, c: F.col(c) if not r else F.xxhash64(F.lit(r), c)
+    out = found[0].select("a", "b")
+    for r, e in enumerate(found[1:], 1):
+        pairs = fps.select("fp", f"fp{r}").distinct()
+        shared = pairs.groupBy(f"fp{r}").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select(f"fp{r}")
+        used = shared.unionByName(e.select(F.col("a").alias(f"fp{r}"))).unionByName(e.select(F.col("b").alias(f"fp{r}"))).distinct()
+        held = pairs.join(used, f"fp{r}", "left_semi").select(F.col("fp").alias("a"), vertex(r, f"fp{r}").alias("b"))
+        out = out.unionByName(held).unionByName(e.select(vertex(r, "a").alias("a"), vertex(r, "b").alias("b")))
+    return materialise(out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "simhash-graph")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = WORDS, radius: int = RADIUS, check_words: int | None = None, check_radius: int = 16, key: str | None = None, rounds: int = 1) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of docs, with key if a column of the rows' own keys (longs) is named. The fingerprint is that of round 0."""
+    fps = materialise(fingerprints(docs, text, doc_id, n_words, check_words, key, rounds), "simhash-fp")
+    each = [_nodes(fps, "fp" if not r else f"fp{r}") for r in range(rounds)]
+    nodes = each[0]
+    found = [links(n, radius, check_radius=check_radius if check_words else None) for n in each]
+    label = components(found[0] if rounds == 1 else _across(fps, found)).withColumnRenamed("id", "fp")
+    label = materialise(label.unionByName(label.select(F.col("component").alias("fp"), "component").distinct()), "simhash-components")
+    label = materialise(nodes.join(label, "fp"), "simhash-labels")
     least = label.groupBy("component").agg(F.min("id").alias("component_id"))
     owner = label.join(least, "component").select(F.col("fp").alias("_fp"), "component_id")
     alone = nodes.select("fp", "id").join(owner, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "id").alias("component_id"))

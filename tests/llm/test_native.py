@@ -322,3 +322,34 @@ def test_queries_run(spark):
     for name, f in queries.queries().items():
         df = f(spark, SF)
         assert df.count() > 0, name
+
+
+def test_simhash_rounds(spark):
+    """Links of several fingerprints: pairs that only a later round has, and documents that hang together by values of two rounds."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    parent = {i: i for i in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k in range(3):
+        fps = {i: simhash.fingerprint(t, 2, k) for i, t in texts.items()}
+        for a in fps:
+            for b in fps:
+                if a < b and (fps[a] ^ fps[b]).bit_count() <= 4:
+                    x, y = sorted((find(a), find(b)))
+                    parent[y] = x
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(d, n_words=2, radius=4, rounds=3).collect()}
+    assert got == {i: find(i) for i in texts}
+    assert {simhash.fingerprint(texts[1], 2, k) for k in range(3)}.__len__() == 3
+
+
+def test_simhash_empty_table_and_clashing_names(spark):
+    d = spark.createDataFrame([(1, "a b c d", 7, "x"), (2, "a b c d", 8, "y"), (3, None, 9, "z")], "doc_id long, text string, fp long, check string")
+    for rounds in (1, 2):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(d, rounds=rounds, check_words=2).collect()}
+        assert got == {1: 1, 2: 1, 3: 3}
+        assert simhash.near_duplicates(d.limit(0), rounds=rounds).count() == 0
