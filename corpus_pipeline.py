@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's
 docs. All but the last return the columns of documents. Verdicts of near-dedup and decontamination are on rows, by a hash of id and text, so
-a row of the same id and another text isn't touched. Near copies without an id, and near copies of each other under one id, stay.
+a row of the same id and another text isn't touched. Near copies without an id stay.
+
+Defined results of every stage: an empty table gives an empty table. A null text is an empty text: quality rules reject it (no words), and later
+stages, if they are given one, keep it without a leak or a secret and pack its end token. Rows are judged one by one whether they repeat or not,
+but for near-dedup. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -15,13 +19,13 @@ from tessella.llm.common import materialise, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the word and line rules or their host's verdict reject go."""
+    """Documents that the word and line rules or their host's verdict reject go; documents without a source share one host."""
     return quality_rules.annotate(docs).where("kept").select(*docs.columns)
 
 
-#: Copies with a few words in a hundred replaced differ in up to seven bits (five-word similarity of 0.8 and more), sometimes in more. So
-#: wide a radius needs the second fingerprint against chance.
-RADIUS, CHECK_WORDS = 7, 2
+#: Links of near-dedup: one of four fingerprints of two-word shingles within five bits, and that of five-word shingles within sixteen. Of pairs with
+#: a five-word similarity of 0.8 and more, four rounds of 63 tables find more than one round of 255 tables (seven bits) does, at the same cost.
+WORDS, RADIUS, ROUNDS, CHECK_WORDS, CHECK_RADIUS = 2, 5, 4, 5, 16
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -29,26 +33,33 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document of the smallest id stays; of equal rows, one."""
+    """Of each group of linked documents the one of the smallest id stays (of several texts under that id, the one of the smallest hash); of equal
+    rows, one. Texts without words, null included, are one group. Rows without an id are never removed as near copies. Keys alone are counted
+    and compared; whole rows are compared only where a key repeats."""
     rows = keyed(docs)
-    gone = simhash.near_duplicates(rows, radius=RADIUS, check_words=CHECK_WORDS, key="_key").where("component_id != doc_id").select(F.col("key").alias("_key"))
-    return rows.join(gone, "_key", "left_anti").select(*docs.columns).distinct()
+    found = materialise(simhash.near_duplicates(rows, n_words=WORDS, radius=RADIUS, rounds=ROUNDS, check_words=CHECK_WORDS, check_radius=CHECK_RADIUS, key="_key"), "near-verdicts")
+    owners = found.where("component_id = doc_id").groupBy("doc_id").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most")
+    others = found.where("component_id = doc_id").join(owners, "doc_id").where("key <> least").select("key")
+    gone = found.where("component_id != doc_id").select("key").unionByName(others).distinct().withColumnRenamed("key", "_key")
+    again = found.groupBy(F.col("key").alias("_key")).count().where("count > 1").select("_key").join(gone, "_key", "left_anti")
+    once = rows.join(gone.unionByName(again), "_key", "left_anti").select(*docs.columns)
+    return once.unionByName(rows.join(again, "_key", "left_semi").select(*docs.columns).distinct())
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item, verbatim or with other slots, go."""
+    """Documents that leak a benchmark item, verbatim or with other slots, go; with or without an id, and all rows of an equal id and text."""
     rows = keyed(docs)
     leaks = decontaminate.leaks(rows, table(spark, sf_dir, "benchmark"), doc_id="_key").select(F.col("doc_id").alias("_key")).distinct()
     return rows.join(leaks, "_key", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are replaced by their kind; n_chars follows the text."""
+    """Secrets in texts are replaced by their kind; n_chars follows the text (null for a null text)."""
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of at most 1024 tokens."""
+    """Token pieces in sequences of at most 1024 tokens; only longer documents are cut."""
     return packing.pack(packing.pieces(docs, queries.tokenizer_path(), queries.END_ID))
 
 
