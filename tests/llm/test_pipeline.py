@@ -1,9 +1,10 @@
 """The pipeline's stages against brute force, each on what its predecessor kept."""
 
+import math
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.test_native import base_of, brute_components, brute_fingerprint, measures
+from tests.llm.test_native import base_of, measures
 from tests.llm.test_python import brute_leaks, check_packed
 
 from tessella.llm import queries, simhash
@@ -36,12 +37,73 @@ def redacted(text):
 
 
 def linked(rows):
-    """Components of links within seven bits whose forest edges pass the check; on this table every link passes it."""
-    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in rows}
-    checks = {r["doc_id"]: simhash.fingerprint(r["text"], corpus_pipeline.CHECK_WORDS) for r in rows}
-    near = [(a, b) for a in fps for b in fps if a < b and 0 < (fps[a] ^ fps[b]).bit_count() <= corpus_pipeline.RADIUS]
-    assert all((checks[a] ^ checks[b]).bit_count() <= 16 for a, b in near)
-    return brute_components(fps, corpus_pipeline.RADIUS)
+    """Components of links: one of the rounds' fingerprints and the check within their radii. Equal values of a round are one node."""
+    ids = sorted(r["doc_id"] for r in rows)
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    check = {i: simhash.fingerprint(texts[i], corpus_pipeline.CHECK_WORDS) for i in ids}
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k in range(corpus_pipeline.ROUNDS):
+        first, fps = {}, {}
+        for i in ids:
+            fps[i] = simhash.fingerprint(texts[i], corpus_pipeline.WORDS, k)
+            o = first.setdefault(fps[i], i)
+            parent[max(find(i), find(o))] = min(find(i), find(o))
+        own = list(first.values())
+        for n, a in enumerate(own):
+            for b in own[:n]:
+                if (fps[a] ^ fps[b]).bit_count() <= corpus_pipeline.RADIUS and (check[a] ^ check[b]).bit_count() <= corpus_pipeline.CHECK_RADIUS:
+                    x, y = sorted((find(a), find(b)))
+                    parent[y] = x
+    return {i: find(i) for i in ids}
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def similar_pairs(sets, least=0.8):
+    """Pairs of equal ids' sets with a Jaccard similarity of at least that, identical sets left out: a pair shares one of its rarest shingles."""
+    count = Counter(h for s in sets.values() for h in s)
+    seen, out = {}, set()
+    for i in sorted(sets, key=lambda i: len(sets[i])):
+        s, near = sets[i], set()
+        rare = sorted(s, key=lambda h: (count[h], h))[: len(s) - math.ceil(least * len(s)) + 1]
+        for h in rare:
+            near.update(seen.get(h, ()))
+            seen.setdefault(h, []).append(i)
+        out |= {(j, i) for j in near if sets[j] != s and len(sets[j] & s) >= least * len(sets[j] | s)}
+    return out
+
+
+def test_recall_of_similar_pairs(spark):
+    """Over nine in ten pairs with a five-word similarity of 0.8 and more are links."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) > 200")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    pairs = similar_pairs({i: shingles(t) for i, t in texts.items()})
+    made = {}
+    for i in {i for p in pairs for i in p}:
+        w = simhash.words_of(texts[i])
+        h = simhash.shingle_hashes(w, corpus_pipeline.WORDS)
+        made[i] = [simhash.majority(simhash.mixed(h, k)) for k in range(corpus_pipeline.ROUNDS)], simhash.fingerprint(texts[i], corpus_pipeline.CHECK_WORDS)
+    near = lambda a, b: min((x ^ y).bit_count() for x, y in zip(a[0], b[0], strict=True)) <= corpus_pipeline.RADIUS and (a[1] ^ b[1]).bit_count() <= corpus_pipeline.CHECK_RADIUS
+    hit = sum(near(made[a], made[b]) for a, b in pairs)
+    assert len(pairs) > 200 and hit >= 0.95 * len(pairs), (hit, len(pairs))
+
+
+def test_no_group_without_common_shingles(spark):
+    rows = kept_by_rules([r.asDict() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()])
+    label, sets = linked(rows), {r["doc_id"]: shingles(r["text"]) for r in rows}
+    groups = {}
+    for i, o in label.items():
+        groups.setdefault(o, []).append(i)
+    assert all(any(sets[i] & sets[j] for j in g if i != j) for g in groups.values() if len(g) > 1 for i in g)
 
 
 def test_stages(spark):
@@ -89,6 +151,14 @@ def test_edges(spark):
         assert docs.count() == 0
 
 
+def test_texts_of_one_id_and_rows_that_differ_elsewhere(spark):
+    """Near copies under one id leave one of them; copies of a text under one id, with and without equal columns, are one group."""
+    text = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(4, text, "a"), (4, text + " end", "a"), (4, text, "a"), (9, "another text", "a"), (9, "another text", "b"), (None, text, "c")], "doc_id long, text string, source string")
+    got = sorted((r["doc_id"] or 0, r["text"], r["source"]) for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, SF).collect())
+    assert got[0] == (0, text, "c") and got[-2:] == [(9, "another text", "a"), (9, "another text", "b")] and len(got) == 4 and got[1][0] == 4
+
+
 def test_verdicts_are_on_rows(spark):
     """Of two texts under one id only the copy or leak goes; a leak without an id goes too."""
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
