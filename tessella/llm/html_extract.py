@@ -10,8 +10,9 @@ The trees are trained here, on pages written by `labelled_pages` from a seed: TR
 pages vary layouts, tag and attribute names, unclosed tags, and pages without telling names.
 
 Defined results: null or empty html, or a page without text, gives an empty text. Unclosed elements end with the page;
-unclosed scripts, styles and comments hide the rest. Equal rows give equal results. Other columns aren't carried. Whole
-pages are read, one at a time.
+unclosed scripts, styles, comments and tags hide the rest. Equal rows give equal results; a null id or url stays null. An empty table gives an
+empty result. Other columns aren't carried and may have any name. Whole pages are read, one at a time, in time and memory linear in their
+length: open elements are found by name, and features are made for at most ROWS nodes at a time.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TRAIN_PAGES = 900
-TREES, DEPTH, RATE, BINS, VOCABULARY = 90, 4, 0.2, 32, 150
+TRAIN_PAGES = 1400
+TREES, DEPTH, RATE, BINS, VOCABULARY = 80, 5, 0.3, 24, 150
 #: Share of the nodes that each tree is fitted to.
-SUBSAMPLE = 0.3
+SUBSAMPLE = 0.15
 
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark math nobr object q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,7 +41,8 @@ FOREIGN = frozenset("math svg".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 BARRIER = frozenset("ul ol dl table body html article section div main nav aside select".split())
 GROUPS = {t: g for g, tags in enumerate(("#run", "article main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "li dt dd", "ul ol dl", "nav menu", "header", "footer", "aside", "form button select option input label fieldset legend dialog", "table thead tbody tfoot tr td th caption", "blockquote pre figure figcaption details summary address", "body html")) for t in tags.split()}
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?/][^>]*+>""", re.S)
+#: A comment, a tag, or other markup; what isn't closed goes to the page's end, so that no place is read more than a few times.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 TELLING = frozenset("class id role style itemprop hidden aria-label aria-hidden".split())
@@ -54,6 +56,8 @@ class Tree:
         self.text: list[str | None] = [None]
         self.links = [0]  # characters of a run inside links
         self._open, self._parts, self._in_link, self._linked = [0], [], False, 0
+        self._places: dict[str, list[int]] = {}  # places in _open by tag
+        self._barriers: list[int] = []  # places of elements that are one
         self._read(page)
         self._run()
         for n in self._open:
@@ -76,16 +80,22 @@ class Tree:
         self._run()
         for n in self._open[depth:]:
             self.end[n] = len(self.tag)
+            self._places[self.tag[n]].pop()
         del self._open[depth:]
+        while self._barriers and self._barriers[-1] >= depth:
+            self._barriers.pop()
 
-    def _close_tags(self, tags: tuple, barrier: frozenset) -> None:
-        for d in range(len(self._open) - 1, 0, -1):
-            tag = self.tag[self._open[d]]
-            if tag in tags:
-                return self._close(d)
-            if tag in barrier:
-                return None
-        return None
+    def _close_tags(self, tags: tuple, barred: bool) -> None:
+        """Closes the innermost open element of one of the tags; barred: not one outside of a barrier."""
+        depth = max((self._places[t][-1] for t in tags if self._places.get(t)), default=0)
+        if depth and not (barred and self._barriers and self._barriers[-1] > depth):
+            self._close(depth)
+
+    def _open_tag(self, tag: str, tokens: tuple) -> None:
+        self._places.setdefault(tag, []).append(len(self._open))
+        if tag in BARRIER:
+            self._barriers.append(len(self._open))
+        self._open.append(self._add(tag, tokens))
 
     def _text(self, s: str) -> None:
         if s:
@@ -102,7 +112,7 @@ class Tree:
                 return
             self._text(page[at : m.start()])
             at = m.end()
-            if not m[2]:
+            if not m[2] or page[at - 1] != ">":
                 continue
             tag = m[2].lower()
             if tag in HIDDEN:
@@ -120,7 +130,7 @@ class Tree:
                 continue
             if m[1]:
                 if tag not in ("body", "html", "head"):
-                    self._close_tags((tag,), frozenset())
+                    self._close_tags((tag,), False)
                 continue
             self._run()
             self._in_link = False
@@ -128,11 +138,11 @@ class Tree:
                 if tag == "body":
                     self.tokens[0] = self._attributes(m[3])
                 continue
-            self._close_tags(("p",), BARRIER)
+            self._close_tags(("p",), True)
             if tag in CLOSES:
-                self._close_tags(CLOSES[tag], BARRIER)
+                self._close_tags(CLOSES[tag], True)
             if tag not in VOID:
-                self._open.append(self._add(tag, self._attributes(m[3])))
+                self._open_tag(tag, self._attributes(m[3]))
 
     @staticmethod
     def _attributes(s: str) -> tuple:
@@ -165,33 +175,24 @@ class Tree:
 NUMBERS = 27
 
 
-def features(t: Tree, vocabulary: dict[str, int]) -> np.ndarray:
-    """A row for each node: numbers, kind, ancestors' kinds, own tokens, ancestors' tokens."""
+def features(t: Tree, vocabulary: dict[str, int], rows: int) -> Iterator[np.ndarray]:
+    """A row for each node, in pieces of at most `rows`: numbers, kind, ancestors' kinds, own tokens, ancestors' tokens."""
     n, v = len(t.tag), len(vocabulary)
-    x = np.zeros((n, NUMBERS + 32 + 2 * v), np.float32)
     parent, end, me = np.array(t.parent), np.array(t.end), np.arange(n)
     length = np.array([len(s) if s else 0 for s in t.text], np.float64)
     tag = [GROUPS.get(k, 16) for k in t.tag]
     depth, order, siblings, same = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
     children: list[list[int]] = [[] for _ in range(n)]
-    kind0, own0 = NUMBERS, NUMBERS + 32
+    # Kinds and tokens as bits of a number: own ones, and those of all ancestors.
+    bits = {token: 1 << 16 + k for token, k in vocabulary.items()}
+    own, above = [0] * n, [0] * n
     for k in range(n):
+        own[k] = (1 << tag[k] if tag[k] < 16 else 0) | sum(bits.get(token, 0) for token in t.tokens[k])
         p = t.parent[k]
         if p >= 0:
             depth[k] = depth[p] + 1
             children[p].append(k)
-            x[k, kind0 + 16 : own0] = x[p, kind0 + 16 : own0]
-            x[k, own0 + v :] = x[p, own0 + v :]
-            if tag[p] < 16:
-                x[k, kind0 + 16 + tag[p]] = 1
-            for token in t.tokens[p]:
-                if token in vocabulary:
-                    x[k, own0 + v + vocabulary[token]] = 1
-        for token in t.tokens[k]:
-            if token in vocabulary:
-                x[k, own0 + vocabulary[token]] = 1
-        if tag[k] < 16:
-            x[k, kind0 + tag[k]] = 1
+            above[k] = above[p] | own[p]
     stop = lambda s: s.count(".") + s.count(",") + s.count("!") + s.count("?") + s.count(";")
     per_node = {
         "chars": length, "links": np.array(t.links, np.float64), "marks": np.array([stop(s) if s else 0 for s in t.text], np.float64), "runs": np.array([s is not None for s in t.text], np.float64),
@@ -220,54 +221,76 @@ def features(t: Tree, vocabulary: dict[str, int]) -> np.ndarray:
         np.log1p(chars / np.maximum(1, total["runs"])), total["runs"], total["items"] / tags, total["paragraphs"] / tags, total["forms"], chars / all_chars, chars / np.maximum(1, of_parent), me / n, end / n, np.log1p(before), np.log1p(after),
         np.array(["©" in s or "copyright" in s.lower() for s in first], float), np.array([bool(s) and s[-1:] in ".!?" for s in first], float), (np.cumsum(length) - length) / all_chars, np.log1p([len(s) for s in first]),
     ]
-    x[:, :NUMBERS] = np.array(numbers).T
-    return x
+    width = (16 + v + 7) // 8
+    spread = lambda masks: np.unpackbits(np.frombuffer(b"".join(m.to_bytes(width, "little") for m in masks), np.uint8).reshape(-1, width), axis=1, bitorder="little")[:, : 16 + v]
+    for at in range(0, n, rows):
+        mine, over = spread(own[at : at + rows]), spread(above[at : at + rows])
+        yield np.concatenate((np.stack([c[at : at + rows] for c in numbers], axis=1).astype(np.float32), mine[:, :16], over[:, :16], mine[:, 16:], over[:, 16:]), axis=1, dtype=np.float32)
 
 
 class Boosted:
-    """Gradient-boosted regression trees on the logistic loss, with histograms of quantile bins."""
+    """Gradient-boosted regression trees on the logistic loss. The first columns are numbers, in histograms of quantile bins; the others are 0 or 1, and
+    their histograms are a matrix product. Of the two children of a node only one is counted, the other is the rest."""
 
-    def __init__(self, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, bins: int = BINS, smoothing: float = 5.0):
-        self.trees, self.depth, self.rate, self.bins, self.smoothing = trees, depth, rate, bins, smoothing
+    def __init__(self, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, bins: int = BINS, smoothing: float = 5.0, numbers: int = NUMBERS):
+        self.trees, self.depth, self.rate, self.bins, self.smoothing, self.numbers = trees, depth, rate, bins, smoothing, numbers
         self.model: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # feature, threshold of the inner nodes; values of the leaves
         self.base = 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        n, f = x.shape
-        edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(f)]
-        code = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
-        flat = code + np.arange(f) * self.bins
+        numbers, bins = min(self.numbers, x.shape[1]), self.bins
+        edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(numbers)]
+        # All in bytes: a number's bin, or a flag. A split is (column, bin): a row is above it if its byte is larger.
+        code = np.concatenate((np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1).astype(np.uint8), (x[:, numbers:] > 0.5).astype(np.uint8)), axis=1)
+        column = np.concatenate((np.repeat(np.arange(numbers), bins - 1), np.arange(numbers, x.shape[1])))
+        bin_of = np.concatenate((np.tile(np.arange(bins - 1), numbers), np.zeros(x.shape[1] - numbers, np.int64)))
+        usable = np.concatenate([np.arange(bins - 1) < len(e) for e in edges] + [np.ones(x.shape[1] - numbers, bool)])
         rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
         self.base = float(np.log(rate / (1 - rate)))
-        whole, codes, targets, n = x, flat, y, max(1, int(n * SUBSAMPLE))
-        scores, r = np.full(len(whole), self.base), np.random.default_rng(0)
+        scores, r, size = np.full(len(x), self.base), np.random.default_rng(0), max(1, int(len(x) * SUBSAMPLE))
         for _ in range(self.trees):
-            some = np.sort(r.choice(len(whole), n, replace=False))
-            x, flat, y = whole[some], codes[some], targets[some]
+            some = np.sort(r.choice(len(x), size, replace=False))
+            part = code[some]
+            cells, flags = part[:, :numbers] + (np.arange(numbers) * bins)[None], part[:, numbers:].T.astype(np.float32)
             p = 1 / (1 + np.exp(-scores[some]))
-            g, h = y - p, p * (1 - p)
-            where = np.zeros(n, np.int64)
-            feature, threshold = np.zeros(2**self.depth - 1, np.int64), np.full(2**self.depth - 1, np.inf)
+            gh = np.stack((y[some] - p, p * (1 - p)), axis=1)
+            where = np.zeros(size, np.int64)
+            feature, above = np.zeros(2**self.depth - 1, np.int64), np.full(2**self.depth - 1, 255)
+            left = total = None  # of the last level: sums below each split, and of each node
             for level in range(self.depth):
                 nodes = 2**level
-                index = (flat + (where * f * self.bins)[:, None]).ravel()
-                sums = [np.bincount(index, weights=np.repeat(w, f), minlength=nodes * f * self.bins).reshape(nodes, f, self.bins) for w in (g, h)]
-                gl, hl = (s.cumsum(axis=2) for s in sums)
-                gt, ht = gl[:, :, -1:], hl[:, :, -1:]
-                gain = gl**2 / (hl + self.smoothing) + (gt - gl) ** 2 / (ht - hl + self.smoothing) - gt**2 / (ht + self.smoothing)
-                best = gain[:, :, :-1].reshape(nodes, -1).argmax(axis=1)
-                bf, bb = best // (self.bins - 1), best % (self.bins - 1)
-                for k in range(nodes):
-                    e = edges[bf[k]]
-                    if bb[k] < len(e) and gain[k, bf[k], bb[k]] > 1e-6:
-                        feature[nodes - 1 + k], threshold[nodes - 1 + k] = bf[k], e[bb[k]]
-                where = 2 * where + (x[np.arange(n), feature[nodes - 1 + where]] > threshold[nodes - 1 + where])
+                if not level:
+                    left, total = self._below(cells, flags, gh, where, np.arange(size), 1)
+                else:
+                    below, sums = np.empty((nodes, *left.shape[1:])), np.empty((nodes, 2))
+                    below[::2], sums[::2] = self._below(cells, flags, gh, where // 2, np.flatnonzero(where % 2 == 0), nodes // 2)
+                    below[1::2], sums[1::2] = left - below[::2], total - sums[::2]
+                    left, total = below, sums
+                (gl, hl), (gt, ht) = (left[..., 0], left[..., 1]), (total[:, :1], total[:, 1:])
+                gain = gl**2 / (hl + self.smoothing) + (gt - gl) ** 2 / (np.maximum(0, ht - hl) + self.smoothing) - gt**2 / (ht + self.smoothing)
+                best = np.where(usable, gain, 0).argmax(axis=1)
+                useful = np.where(usable, gain, 0)[np.arange(nodes), best] > 1e-6
+                feature[nodes - 1 : 2 * nodes - 1] = np.where(useful, column[best], 0)
+                above[nodes - 1 : 2 * nodes - 1] = np.where(useful, bin_of[best], 255)
+                where = 2 * where + (part[np.arange(size), feature[nodes - 1 + where]] > above[nodes - 1 + where])
             leaves = 2**self.depth
-            value = np.bincount(where, g, leaves) / (np.bincount(where, h, leaves) + self.smoothing) * self.rate
+            value = np.bincount(where, gh[:, 0], leaves) / (np.bincount(where, gh[:, 1], leaves) + self.smoothing) * self.rate
+            threshold = np.array([np.inf if b == 255 else edges[f][b] if f < numbers else 0.5 for f, b in zip(feature, above, strict=True)])
             self.model.append((feature, threshold, value))
-            scores += self._one(whole, feature, threshold, value)
+            scores += self._one(code, feature, above, value)
         return self
 
+    def _below(self, cells: np.ndarray, flags: np.ndarray, gh: np.ndarray, where: np.ndarray, rows: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of gh of the rows at or below every split, by node, and of all rows."""
+        numbers, bins, at = cells.shape[1], self.bins, where[rows]
+        total = np.stack([np.bincount(at, gh[rows, k], nodes) for k in (0, 1)], axis=1)
+        index = (cells[rows] + (at * numbers * bins)[:, None]).ravel()
+        sums = np.stack([np.bincount(index, np.repeat(gh[rows, k], numbers), nodes * numbers * bins) for k in (0, 1)], axis=-1).reshape(nodes, numbers, bins, 2)
+        by_node = np.zeros((cells.shape[0], nodes, 2), np.float32)
+        by_node[rows, at] = gh[rows]
+        ones = (flags @ by_node.reshape(cells.shape[0], -1)).reshape(-1, nodes, 2).transpose(1, 0, 2)
+        return np.concatenate((sums.cumsum(axis=2)[:, :, :-1].reshape(nodes, -1, 2), total[:, None] - ones), axis=1), total
+
     def _one(self, x: np.ndarray, feature: np.ndarray, threshold: np.ndarray, value: np.ndarray) -> np.ndarray:
         rows, at = np.arange(len(x)), np.zeros(len(x), np.int64)
         for _ in range(self.depth):
@@ -304,20 +327,39 @@ def decode(t: Tree, odds: np.ndarray) -> list[bool]:
     return out
 
 
+#: Nodes whose features are held at once.
+ROWS = 16384
+
+
 class Extractor:
     def __init__(self, vocabulary: dict[str, int], trees: Boosted):
         self.vocabulary, self.trees = vocabulary, trees
 
     def __call__(self, pages: list[str | None]) -> list[str]:
-        trees = [Tree(p or "").pruned() for p in pages]
-        some = [t for t in trees if t.tag]
-        if not some:
-            return [""] * len(pages)
-        odds = self.trees.predict(np.concatenate([features(t, self.vocabulary) for t in some]))
-        out, at = [], 0
+        out: list[str] = []
+        some: list[Tree] = []
+        for p in pages:
+            some.append(Tree(p or "").pruned())
+            if sum(len(t.tag) for t in some) >= ROWS // 4:
+                out += self._texts(some)
+                some = []
+        return out + self._texts(some)
+
+    def _texts(self, trees: list[Tree]) -> list[str]:
+        odds, waiting, held = [], [], 0
+        for t in trees:
+            for x in features(t, self.vocabulary, ROWS) if t.tag else ():
+                waiting.append(x)
+                held += len(x)
+                if held >= ROWS:
+                    odds.append(self.trees.predict(np.concatenate(waiting)))
+                    waiting, held = [], 0
+        if waiting:
+            odds.append(self.trees.predict(np.concatenate(waiting)))
+        every, out, at = np.concatenate(odds) if odds else np.empty(0), [], 0
         for t in trees:
             n = len(t.tag)
-            kept = decode(t, odds[at : at + n]) if n else []
+            kept = decode(t, every[at : at + n]) if n else []
             at += n
             out.append("\n".join(s for s, k in zip(t.text, kept, strict=True) if k and s is not None))
         return out
@@ -326,6 +368,10 @@ class Extractor:
 # --- labelled pages -----------------------------------------------------------------------------------------------
 
 _SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe qui ro su ta ve wi xo yu za an er in on st th nd ou re é ü ñ".split()
+#: The running text that written pages take their words from: some are capitalised, some have marks behind them.
+_r = random.Random(7)
+_WORDS = [w.capitalize() if _r.random() < 0.04 else w for w in ("".join(_r.choices(_SYLLABLES, k=_r.randint(1, 4))) for _ in range(5000))]
+_RUNNING = [a + b for a, b in zip(_r.choices(_WORDS, k=60_000), _r.choices(("", ",", ".", " &amp;&amp;&amp;", " ***", " $$$", " %%%", " |", " -", "***"), (0.83, 0.06, 0.08, 0.005, 0.005, 0.005, 0.005, 0.004, 0.004, 0.002), k=60_000), strict=True)]
 _NAMES = {
     "menu": ("nav", "menu", "navbar", "topnav", "main-menu", "nav-links", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "tabs", "toc"),
     "header": ("header", "site-header", "masthead", "banner", "top-bar", "branding", "logo", "page-header"),
@@ -348,11 +394,11 @@ class _Writer:
         self.main_texts: list[str] = []
 
     def words(self, n: int) -> str:
-        r, out = self.r, []
-        for k in range(n):
-            w = "".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 4)))
-            out.append((w.capitalize() if k == 0 or r.random() < 0.04 else w) + ("," if r.random() < 0.06 else "." if r.random() < 0.08 else "") + (r.choice(("&amp;&amp;&amp;", "***", "$$$", "%%%", " |", " -")) if r.random() < 0.03 else ""))
-        return " ".join(out)
+        at = self.r.randrange(len(_RUNNING) - n)
+        w = _RUNNING[at : at + n]
+        if self.r.random() < 0.05:  # junk: a word over and over, or one in every place
+            w = w[:1] * n if self.r.random() < 0.5 else [x + " |" for x in w]
+        return " ".join([w[0].capitalize(), *w[1:]])
 
     def sentence(self, lo: int, hi: int) -> str:
         return self.words(self.r.randint(lo, hi)) + self.r.choice((".", ".", ".", "", "!", "?"))
@@ -366,7 +412,8 @@ class _Writer:
         return f' {kind}="{name}{extra}"' + (' hidden' if role == "notice" and self.r.random() < 0.1 else "")
 
     def link(self) -> str:
-        w = self.words(self.r.randint(1, 4)).rstrip(".,")
+        w = self.words(self.r.randint(1, 4)).rstrip(".,") + self.r.choice(("", "", "", "", "", ".", ",", "!"))
+        w = w.lower() if self.r.random() < 0.4 else w
         return f'<a href="/{w.split()[0]}">{w}</a>'
 
     def menu(self) -> str:
@@ -392,7 +439,7 @@ class _Writer:
 
     def notice(self) -> str:
         button = f"<button>{self.words(1)}</button>" if self.r.random() < 0.6 else ""
-        return f"<{(t := self.r.choice(('div', 'div', 'section', 'dialog', 'p')))}{self.attributes('notice', 1)}>{self.sentence(4, 30) if t == 'p' or self.r.random() < 0.5 else f'<p>{self.sentence(4, 30)}</p>'}{button if t != 'p' else ''}</{t}>"
+        return f"<{(t := self.r.choice(('div', 'div', 'section', 'dialog', *['p'] * self.named)))}{self.attributes('notice', 1)}>{self.sentence(4, 30) if t == 'p' or self.r.random() < 0.5 else f'<p>{self.sentence(4, 30)}</p>'}{button if t != 'p' else ''}</{t}>"
 
     def ad(self) -> str:
         text = self.sentence(2, 25)
@@ -496,7 +543,7 @@ def train(n: int = TRAIN_PAGES, seed: int = 1) -> Extractor:
         for token in {x for k in t.tokens for x in k}:
             counts[token] = counts.get(token, 0) + 1
     vocabulary = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[:VOCABULARY])}
-    x = np.concatenate([features(t, vocabulary) for t in trees])
+    x = np.concatenate([f for t in trees for f in features(t, vocabulary, ROWS)])
     y = np.concatenate([labels(t, text) for t, (_, text) in zip(trees, pages, strict=True)])
     return Extractor(vocabulary, Boosted().fit(x, y))
 
