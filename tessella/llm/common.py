@@ -8,7 +8,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 #: ASCII white space as the contracts count it.
@@ -52,30 +51,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
 
 
-def gapless(df: DataFrame, group: list[str], order: list[str], name: str, salts: int | None = None) -> DataFrame:
+def gapless(df: DataFrame, group: list[str], order: list[str], name: str, salts: int | None = None, slices: list[str] | None = None) -> DataFrame:
     """Number the rows of each group from 0 without gaps, also where one group holds most of the rows.
 
-    Rows are split into `salts` slices of their group by a hash of the order columns, slices are counted, and a
-    prefix sum over the counts (salts rows a group) gives each slice its first number. Rows are numbered by slice,
-    then by the order columns. The number of slices only sets the parallelism.
+    Rows are split into slices of their group, slices are counted, and a prefix sum over the counts gives each slice its first number. Rows are numbered
+    by slice, then by the order columns. Slices are those of the columns named in `slices` (never null); without any, `salts` slices by a hash of the
+    order columns, which only set the parallelism.
     """
-    salts = salts or max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    salted = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    counts = salted.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(*group, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy(*group, "_slice").orderBy(*order)
-    numbered = salted.withColumn("_place", F.row_number().over(within) - 1)
+    if not slices:
+        salts = salts or max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        df, slices = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")), ["_slice"]
+    counts = df.groupBy(*group, *slices).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy(*slices).rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(*[F.col(g).alias(f"_g_{g}") for g in [*group, *slices]], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    within = Window.partitionBy(*group, *slices).orderBy(*order)
+    numbered = df.withColumn("_place", F.row_number().over(within) - 1)
     # Plain equality where null can't be: the window's partitioning then serves the join too, and rows are exchanged once.
-    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) if df.schema[g].nullable else F.col(g) == F.col(f"_g_{g}") for g in group]
-    joined = numbered.join(first.withColumnsRenamed({g: f"_g_{g}" for g in group}).withColumnRenamed("_slice", "_s"), on=[*same, F.col("_slice") == F.col("_s")], how="inner")
-    return joined.withColumn(name, (F.col("_place") + F.col("_first")).cast("long")).drop("_slice", "_place", "_first", "_s", *[f"_g_{g}" for g in group])
-
-
-def plain(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, by the operator's own names, so that extra columns of the input can't clash."""
-    return df.select(*[df[source].alias(name) for name, source in columns.items()])
-
-
-def empty_schema(*fields: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([T.StructField(n, t) for n, t in fields])
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) if g in group and df.schema[g].nullable else F.col(g) == F.col(f"_g_{g}") for g in [*group, *slices]]
+    joined = numbered.join(first, on=same, how="inner")
+    return joined.withColumn(name, (F.col("_place") + F.col("_first")).cast("long")).drop("_place", "_first", *slices, *[f"_g_{g}" for g in [*group, *slices]])
