@@ -253,10 +253,11 @@ def generator_text(q, domain, block, trace, slots):
     return F.concat_ws("\n\n", *parts, *([trace] if trace is not None else []), F.concat(F.lit("SLOTS FILLED:\n"), slots), F.lit("Produce the final answer now."))
 
 
-@query("SELECT doc_id, count(*) AS n FROM labels WHERE doc_id % 3 <> 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0) GROUP BY doc_id")
+@query("SELECT r AS doc_id, count(*) AS n FROM (SELECT doc_id + CASE WHEN doc_id % 5 = 0 THEN 1000000000 ELSE 0 END AS r FROM labels) WHERE r NOT IN (SELECT doc_id FROM documents) GROUP BY r")
 def referential_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = table(spark, sf_dir, "labels").where("doc_id % 3 <> 0").select(F.array("doc_id").alias("passage_doc_ids"))
-    return knowledge.unknown_ids(prompts, table(spark, sf_dir, "documents").where("doc_id % 5 <> 0"))
+    """References out of labels, a fifth of them to ids that don't exist."""
+    away = F.col("doc_id") + F.when(F.col("doc_id") % 5 == 0, 1_000_000_000).otherwise(0)
+    return knowledge.unknown_ids(table(spark, sf_dir, "labels").select(F.array(away).alias("passage_doc_ids")), table(spark, sf_dir, "documents"))
 
 
 _ROUNDS = "SELECT item_id * 3 + r AS query_id, CASE r WHEN 0 THEN text WHEN 1 THEN left(text, 60) ELSE right(text, 60) END AS text FROM benchmark, (VALUES (0), (1), (2)) AS v(r)"

@@ -98,6 +98,16 @@ def pdf_pages(spark: SparkSession, folder: str, page_texts: Callable[[bytes], li
     return files.select("path", "content").mapInPandas(of, "path string, page int, text string, start long, end long")
 
 
+def write_vectors(df: DataFrame, path: str, parts: int | None = None) -> None:
+    """A vector index without approximation: (vec_id, embedding and what else df has) as Parquet, dealt out by a hash of the id."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.where(F.col("embedding").isNotNull()).repartition(parts, "vec_id").write.mode("overwrite").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def write_json_array(df: DataFrame, path: str, order: str) -> None:
     """One file that is a JSON array, in the order of a column: for small results that other programs read. The file is written as sorted
     lines whose separators make them an array, so no task holds more than a line."""
