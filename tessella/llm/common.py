@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset (as in
-    tests on one machine), a new temporary folder that is then set for the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset and all tasks run in this process
+    (as in tests), a new temporary folder that is then set for the session. Elsewhere the setting is needed: a folder of one machine loses what others write."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
