@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.operators.storage import cut, shared_dir  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,22 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, only where that is unset, a temporary folder of this machine that is then set."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="tessella-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back: what follows starts from files, also after an executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Questions of each domain; {a} an amount, {y} years, {s} a place. Written for these queries.
 QUESTIONS = (
     ("pf", "I left my job {y} months ago, can I withdraw my PF? I worked {y} years in all"),

@@ -10,7 +10,7 @@ from tessella.operators import generation, retrieve, synthesis
 from tessella.plans import corpus
 from tessella.plans import slots as S
 from tessella.plans import sql as Q
-from tessella.plans.base import query, shared_dir, table
+from tessella.plans.base import cut, query, shared_dir, table
 from tessella.sources import files
 
 #: Conditions of made-up passages: (field, operator, value, mandatory). Written for these queries.
@@ -164,7 +164,7 @@ def typed_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{S.ROUTED} SELECT id, expected, predicted FROM (SELECT *, row_number() OVER (PARTITION BY expected ORDER BY id) AS n FROM r WHERE expected <> predicted) WHERE n <= 10")
 def failure_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generation.first_failures(S.routed(spark, sf_dir).where("expected <> predicted"), "expected", "id", 10)
+    return generation.first_failures(cut(S.routed(spark, sf_dir), "routed").where("expected <> predicted"), "expected", "id", 10)
 
 
 @query(f"{S.GATED} SELECT domain, count(*) AS n, round(avg((id % 3 <> 0)::INT), 6) AS baseline, round(avg(((id % 3 <> 0) = sufficient)::INT), 6) AS rules FROM g GROUP BY GROUPING SETS ((domain), ())")

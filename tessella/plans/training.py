@@ -293,7 +293,7 @@ def out_of_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", synthesis.refusal(q)["category"].alias("category"))
 
 
-@query()
+@query(f"""{corpus._bm25_sql(corpus.SEARCH_SQL, True, 5)} SELECT query_id, '**Result:** according to the sources ' || string_agg('[DOC_' || doc_id || ']', ' ' ORDER BY rank) || '.' AS answer FROM hits GROUP BY query_id""")
 def vanilla_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plain baseline: five passages, a prompt, an answer of the default endpoint."""
     d = corpus.documents(spark, sf_dir)
