@@ -376,3 +376,19 @@ def test_decontaminate_in_another_case(spark, limit):
     got = leak_rows(decontaminate.leaks(d, i, filter_windows=limit))
     assert set(got) == {(10 * i + k, i) for i, _ in items for k in range(4)} | {(102, 1), (103, 1)}
     assert {v for k, (_, v) in got.items() if k[0] != 102} == {"verbatim"} and got[102, 1][1] == "reparameterised"
+
+
+def test_token_ids_are_those_of_the_library():
+    """Random Unicode, every added token by itself and inside words, and long runs of one character or pattern."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t, r = Tokenizer.from_file(path), random.Random(12)
+    ranges = ((0x20, 0x7E), (0x09, 0x0D), (0xA0, 0x17F), (0x300, 0x36F), (0x370, 0x5FF), (0x900, 0x97F), (0x2000, 0x206F), (0x3040, 0x30FF), (0x4E00, 0x4FFF), (0xAC00, 0xACFF), (0x1F300, 0x1F64F), (0xE000, 0xE0FF), (0xFFF0, 0xFFFD), (0x10FF00, 0x10FFFF))
+    texts = ["".join(chr(r.randint(*r.choice(ranges))) for _ in range(r.randint(1, 120))) for _ in range(1500)]
+    texts += ["".join(r.choice((" ", "  ", "\n", "\r\n", "'s", "'LL", "12", "³", "½", "é", "é", "ǅ", "ab", "_", "…", " ", " ", "\t")) for _ in range(r.randint(1, 60))) for _ in range(1500)]
+    added = [a.content for a in t.get_added_tokens_decoder().values()]
+    texts += [x for a in added for x in (a, f"x{a}y", f" {a} ", f"{a}{a}", a[:-1], a.upper())]
+    texts += [c * n for c in ("a", " ", "\n", "ab", "=", "é", "😀", "0", "\t ", "a ") for n in (31, 1000, 5000)]
+    for s in texts:
+        assert packing.token_ids(s, path, 2).tolist() == [*t.encode(s, add_special_tokens=False).ids, 2], repr(s[:80])
