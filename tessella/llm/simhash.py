@@ -18,7 +18,8 @@ shingles of that many words, which is exchanged with the first; only what is als
 forests span these links. A node's check fingerprint is that of its document of the smallest id.
 
 `rounds` takes several independent fingerprints of the same shingles, each with tables of its own: documents link if one of them does.
-The chance to miss a similar pair falls with every round, where a wider radius doubles the tables for each bit. Components then run over
+The chance to miss a similar pair falls with every round, where a wider radius doubles the tables for each bit. All rounds go through
+the levels together, the round being part of a bucket's key. Components then run over
 the values of all rounds, joined by the documents that have them; values are told apart by 64-bit hashes of (round, value).
 
 Defined results: a text without words, null included, has fingerprint 0 and links like any other. A text of fewer
@@ -50,6 +51,8 @@ BITS = 64
 BUCKET = 1 << 15
 #: Buckets with so few bits left free have at most BUCKET distinct fingerprints. More than the radius: a table may keep none of so few bits.
 FREE = 15
+#: A path's bits below this one are its tables; those above are its round.
+ROUND_AT = 58
 
 
 #: What a round adds to the shingles' hashes before they are mixed; round 0 takes them as they are.
@@ -145,6 +148,7 @@ def _forest(fps: np.ndarray, radius: int, checks: np.ndarray | None = None, chec
 def _kept(path: int, radius: int) -> int:
     """The bits that the tables of a path keep."""
     tables, steps = (1 << (radius + 1)) - 1, []
+    path &= (1 << ROUND_AT) - 1
     while path:
         path, k = divmod(path - 1, tables)
         steps.append(k)
@@ -156,7 +160,7 @@ def _kept(path: int, radius: int) -> int:
 
 def _masked(radius: int, level: int) -> Column:
     """The bits of fp that the tables of a path of that level keep."""
-    tables, path, kept = (1 << (radius + 1)) - 1, "path", None
+    tables, path, kept = (1 << (radius + 1)) - 1, f"(path & {(1 << ROUND_AT) - 1}L)", None
     for k in range(level, -1, -1):
         masks = F.array(*[F.lit(m).cast("long") for m in covering_masks(radius, level=k)])
         m = F.element_at(masks, F.expr(f"int(({path} - 1) % {tables}) + 1"))
@@ -166,7 +170,7 @@ def _masked(radius: int, level: int) -> Column:
 
 class _Buckets:
     """Turns sorted rows (path, masked, fp) or, with a check_radius, (path, masked, fp, check), in pieces, into edges (fp, fp, null) and, for
-    buckets that are too large, open nodes (fp, check or 0, path)."""
+    buckets that are too large, open nodes (fp, check or 0, path); `rounds` has the round of each."""
 
     def __init__(self, radius: int, bucket: int, check_radius: int | None = None):
         self.radius, self.bucket, self.check_radius = radius, bucket, check_radius
@@ -174,17 +178,20 @@ class _Buckets:
         self.carry = self.none
         self.large: tuple | None = None  # the key of a large bucket whose rows still come
         self.out: tuple[list, list, list] = ([], [], [])
+        self.rounds: list[int] = []
 
     def _open(self, rows: np.ndarray) -> None:
         path = int(rows[0, 0])
         self.out[0].extend(rows[2].tolist())
         self.out[1].extend([0] * rows.shape[1] if self.check_radius is None else rows[3].tolist())
         self.out[2].extend([path] * rows.shape[1])
+        self.rounds.extend([path >> ROUND_AT] * rows.shape[1])
 
-    def _edges(self, a: list, b: list) -> None:
+    def _edges(self, paths: np.ndarray, a: list, b: list) -> None:
         self.out[0].extend(a)
         self.out[1].extend(b)
         self.out[2].extend([None] * len(a))
+        self.rounds.extend((paths >> ROUND_AT).tolist())
 
     def _too_large(self, rows: np.ndarray) -> bool:
         return rows.shape[1] > self.bucket and BITS - (_kept(int(rows[0, 0]), self.radius) & (1 << BITS) - 1).bit_count() > FREE
@@ -196,7 +203,7 @@ class _Buckets:
             f = rows[2].tolist()
             checks = () if self.check_radius is None else (rows[3].view(np.uint64), self.check_radius)
             pairs = _forest(rows[2].view(np.uint64), self.radius, *checks)
-            self._edges([f[x] for x, _ in pairs], [f[y] for _, y in pairs])
+            self._edges(rows[0, : len(pairs)], [f[x] for x, _ in pairs], [f[y] for _, y in pairs])
 
     def add(self, rows: np.ndarray) -> None:
         if self.large is not None:
@@ -226,13 +233,13 @@ class _Buckets:
         near = two[np.bitwise_count((rows[2][two] ^ rows[2][two + 1]).view(np.uint64)) <= self.radius]
         if self.check_radius is not None:
             near = near[np.bitwise_count((rows[3][near] ^ rows[3][near + 1]).view(np.uint64)) <= self.check_radius]
-        self._edges(rows[2][near].tolist(), rows[2][near + 1].tolist())
+        self._edges(rows[0][near], rows[2][near].tolist(), rows[2][near + 1].tolist())
         for k in np.flatnonzero(sizes > 2).tolist():
             self._bucket(rows[:, starts[k] : starts[k + 1]])
 
     def flush(self) -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in self.out], names=["a", "b", "path"])
-        self.out = ([], [], [])
+        made = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in self.out), pa.array(self.rounds, pa.int32())], names=["a", "b", "path", "round"])
+        self.out, self.rounds = ([], [], []), []
         return made
 
 
@@ -241,9 +248,10 @@ PART_ROWS = 400_000
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, check_radius: int | None = None) -> DataFrame:
-    """Edges (a, b), a > b, between nodes (distinct fp; check, if there is a check_radius) that connect exactly what links within the radius,
-    or within both, connect."""
+    """Edges (a, b, round), a > b, between nodes (distinct round and fp; check, if there is a check_radius) of a round that connect exactly what links
+    within the radius, or within both, connect. Nodes without a column round are of round 0."""
     carried = ["fp"] if check_radius is None else ["fp", "check"]
+    at = F.col("round").cast("long") if "round" in nodes.columns else F.lit(0).cast("long")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Buckets(radius, bucket, check_radius)
@@ -256,15 +264,16 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, check_ra
 
     spark, edges = nodes.sparkSession, []
     tables = (1 << (radius + 1)) - 1
-    now = nodes.select(*carried, F.lit(0).cast("long").alias("path"))
+    now = nodes.select(*carried, F.shiftleft(at, ROUND_AT).alias("path"))
     n = nodes.count()
     for level in itertools.count():
         rows = now.repartition(max(1, -(-n * tables // PART_ROWS))).select(*carried, "path", F.explode(F.sequence(F.lit(1), F.lit(tables))).alias("t"))
         # The whole path of tables is part of a bucket's key, as the bits kept depend on it.
-        rows, masked = rows.select((F.col("path") * tables + F.col("t")).alias("path"), *carried), _masked(radius, level)
+        low = F.col("path").bitwiseAND(F.lit((1 << ROUND_AT) - 1))
+        rows, masked = rows.select((F.col("path") - low + low * tables + F.col("t")).alias("path"), *carried), _masked(radius, level)
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * tables // PART_ROWS))
-        found = materialise(rows.repartition(parts, "path", masked).withColumn("masked", masked).sortWithinPartitions("path", "masked", "fp").mapInArrow(of, "a long, b long, path long"), "simhash-level")
-        edges.append(found.where("path IS NULL").select("a", "b"))
+        found = materialise(rows.repartition(parts, "path", masked).withColumn("masked", masked).sortWithinPartitions("path", "masked", "fp").mapInArrow(of, "a long, b long, path long, round int"), "simhash-level")
+        edges.append(found.where("path IS NULL").select("a", "b", "round"))
         now = found.where("path IS NOT NULL").select(F.col("a").alias("fp"), *[F.col("b").alias(c) for c in carried[1:]], "path")
         n = now.count()
         if not n:
@@ -272,7 +281,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, check_ra
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
-    return materialise(out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "simhash-edges")
+    return materialise(out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "round").where("a != b").distinct(), "simhash-edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,9 +300,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     def stars(e: DataFrame) -> bool:
         """Every id has one smallest id, which is no id with a smaller one: then nothing is left to do."""
-        roots = e.select(F.col("b").alias("a")).distinct()
-        return e.groupBy("a").count().where("count > 1").isEmpty() and e.join(roots, "a", "left_semi").isEmpty()
+        ends = e.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
 
+    edges = edges.select("a", "b")
     while not stars(edges):
         edges = materialise(star(edges), "components")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
@@ -303,33 +313,38 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _nodes(fps: DataFrame, fp: str) -> DataFrame:
-    """(fp, id, check): the distinct values with their smallest id and its check fingerprint."""
+def _values(fps: DataFrame, rounds: int, first: int = 0) -> Column:
+    """The array of (round, value) of a row's fingerprints, from a round on."""
+    return F.array(*[F.struct(F.lit(r).alias("round"), F.col("fp" if not r else f"fp{r}").alias("fp")) for r in range(first, rounds)])
+
+
+def _nodes(fps: DataFrame, rounds: int) -> DataFrame:
+    """(round, fp, id, check): the distinct values of every round with their smallest id and its check fingerprint."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "check"))
-    return materialise(fps.groupBy(F.col(fp).alias("fp")).agg(first.alias("x")).select("fp", F.col("x.doc_id").alias("id"), F.col("x.check").alias("check")), "simhash-nodes")
+    each = fps.select("doc_id", "check", F.inline(_values(fps, rounds)))
+    return materialise(each.groupBy("round", "fp").agg(first.alias("x")).select("round", "fp", F.col("x.doc_id").alias("id"), F.col("x.check").alias("check")), "simhash-nodes")
 
 
-def _across(fps: DataFrame, found: list[DataFrame]) -> DataFrame:
+def _across(fps: DataFrame, found: DataFrame, rounds: int) -> DataFrame:
     """Edges of all rounds as one graph. A vertex is a value of a round; a document's vertices hang together by that of round 0, as far as
     they are in a link or several documents' values of round 0 share them."""
-    vertex = lambda r, c: F.col(c) if not r else F.xxhash64(F.lit(r), c)
-    out = found[0].select("a", "b")
-    for r, e in enumerate(found[1:], 1):
-        pairs = fps.select("fp", f"fp{r}").distinct()
-        shared = pairs.groupBy(f"fp{r}").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least <> most").select(f"fp{r}")
-        used = shared.unionByName(e.select(F.col("a").alias(f"fp{r}"))).unionByName(e.select(F.col("b").alias(f"fp{r}"))).distinct()
-        held = pairs.join(used, f"fp{r}", "left_semi").select(F.col("fp").alias("a"), vertex(r, f"fp{r}").alias("b"))
-        out = out.unionByName(held).unionByName(e.select(vertex(r, "a").alias("a"), vertex(r, "b").alias("b")))
+    vertex = lambda c: F.when(F.col("round") == 0, F.col(c)).otherwise(F.xxhash64("round", c))
+    edges = found.select(vertex("a").alias("a"), vertex("b").alias("b"), "round")
+    each = fps.select(F.col("fp").alias("a"), F.inline(_values(fps, rounds, 1)))
+    pairs = materialise(each.select("a", vertex("fp").alias("b")).distinct(), "simhash-pairs")
+    shared = pairs.groupBy("b").agg(F.min("a").alias("least"), F.max("a").alias("most")).where("least <> most").select("b")
+    used = shared.unionByName(edges.where("round > 0").select(F.explode(F.array("a", "b")).alias("b"))).distinct()
+    out = edges.select("a", "b").unionByName(pairs.join(used, "b", "left_semi").select("a", "b"))
     return materialise(out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "simhash-graph")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = WORDS, radius: int = RADIUS, check_words: int | None = None, check_radius: int = 16, key: str | None = None, rounds: int = 1) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs, with key if a column of the rows' own keys (longs) is named. The fingerprint is that of round 0."""
     fps = materialise(fingerprints(docs, text, doc_id, n_words, check_words, key, rounds), "simhash-fp")
-    each = [_nodes(fps, "fp" if not r else f"fp{r}") for r in range(rounds)]
-    nodes = each[0]
-    found = [links(n, radius, check_radius=check_radius if check_words else None) for n in each]
-    label = components(found[0] if rounds == 1 else _across(fps, found)).withColumnRenamed("id", "fp")
+    nodes = _nodes(fps, rounds)
+    found = links(nodes, radius, check_radius=check_radius if check_words else None)
+    nodes = nodes.where("round = 0").drop("round")
+    label = components(found if rounds == 1 else _across(fps, found, rounds)).withColumnRenamed("id", "fp")
     label = materialise(label.unionByName(label.select(F.col("component").alias("fp"), "component").distinct()), "simhash-components")
     label = materialise(nodes.join(label, "fp"), "simhash-labels")
     least = label.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -366,6 +366,24 @@ def test_simhash_large_buckets_with_a_check(spark):
         assert {i: label.get(i, i) for i in want} == want
 
 
+def test_simhash_rounds_in_large_buckets(spark):
+    """Nodes of several rounds go through the levels together, and only those of one round link."""
+    import random
+
+    r = random.Random(5)
+    centres = [r.getrandbits(64) for _ in range(2)]
+    flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    each = [{flip(centres[i % 2], r.choice([0, 1, 2, 3, 5])) for i in range(150)} for _ in range(4)]
+    df = spark.createDataFrame([(k, signed(x)) for k, xs in enumerate(each) for x in xs], "round int, fp long")
+    for bucket in (8, 1000):
+        edges = simhash.links(df, bucket=bucket).cache()
+        for k, xs in enumerate(each):
+            want = brute_components({signed(x): x for x in xs})
+            label = {e["id"]: e["component"] for e in simhash.components(edges.where(f"round = {k}").select("a", "b")).collect()}
+            assert label.keys() <= want.keys() and {i: label.get(i, i) for i in want} == want
+
+
 def test_buckets_over_batches():
     """Large buckets that come in pieces go on whole."""
     import numpy as np
