@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, decontaminate, histogram_shards, html_extract, language_id, packing, quality_rules, secret_scan, simhash, warc
+from tessella.llm import chat_format, decontaminate, histogram_shards, html_extract, language_id, packing, quality_rules, secret_scan, simhash, structure_repair, warc
 from tessella.llm.common import table
 
 END_ID = 2
@@ -63,8 +63,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return structure_repair.digest(structure_repair.damage(rows), rows)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_html_extract, op3_warc, op4_histogram_shards, op5_quality_rules, op6_language_id, op7_chat_format, op8_packing, op9_decontaminate, op10_simhash)}
+    ops = (op1_secret_scan, op2_html_extract, op3_warc, op4_histogram_shards, op5_quality_rules, op6_language_id, op7_chat_format, op8_packing, op9_decontaminate, op10_simhash, op11_structure_repair)
+    return {f.__name__: f for f in ops}
 
 
 _OP3 = """
