@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, decontaminate, histogram_shards, html_extract, language_id, packing, quality_rules, secret_scan, simhash, structure_repair, warc
+from tessella.llm import chat_format, collocations, decontaminate, histogram_shards, html_extract, language_id, packing, quality_rules, secret_scan, simhash, structure_repair, warc
 from tessella.llm.common import table
 
 END_ID = 2
@@ -68,8 +68,12 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.digest(structure_repair.damage(rows), rows)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top(collocations.mine(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    ops = (op1_secret_scan, op2_html_extract, op3_warc, op4_histogram_shards, op5_quality_rules, op6_language_id, op7_chat_format, op8_packing, op9_decontaminate, op10_simhash, op11_structure_repair)
+    ops = (op1_secret_scan, op2_html_extract, op3_warc, op4_histogram_shards, op5_quality_rules, op6_language_id, op7_chat_format, op8_packing, op9_decontaminate, op10_simhash, op11_structure_repair, op12_collocations)
     return {f.__name__: f for f in ops}
 
 
@@ -113,6 +117,24 @@ FROM t JOIN e USING (conv_id, turn) GROUP BY conv_id
 """
 
 
+_OP12 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM d),
+g AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS s(k)),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND a >= 10),
+longer AS (SELECT lang, phrase, max(a) AS longest FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+cut AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j + 1:], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT cut.lang, cut.phrase, cut.a, j, x.a AS l, y.a AS r, ((1000000::HUGEINT * cut.a * cut.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = lp JOIN f y ON y.lang = cut.lang AND y.phrase = rp),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) LEFT JOIN longer USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a
+QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express; the others are tested against brute force."""
-    return {"op3_warc": _OP3, "op5_quality_rules": _OP5, "op7_chat_format": _OP7}
+    return {"op3_warc": _OP3, "op5_quality_rules": _OP5, "op7_chat_format": _OP7, "op12_collocations": _OP12}
