@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, collocations, decontaminate, histogram_shards, html_extract, language_id, packing, quality_rules, secret_scan, simhash, structure_repair, warc
+from tessella.llm import chat_format, collocations, decontaminate, histogram_shards, html_extract, language_id, lattice_dedup, packing, quality_rules, secret_scan, simhash, structure_repair, warc
 from tessella.llm.common import table
 
 END_ID = 2
@@ -72,8 +72,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.top(collocations.mine(table(spark, sf_dir, "documents")))
 
 
+def op13_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    ops = (op1_secret_scan, op2_html_extract, op3_warc, op4_histogram_shards, op5_quality_rules, op6_language_id, op7_chat_format, op8_packing, op9_decontaminate, op10_simhash, op11_structure_repair, op12_collocations)
+    ops = (op1_secret_scan, op2_html_extract, op3_warc, op4_histogram_shards, op5_quality_rules, op6_language_id, op7_chat_format, op8_packing, op9_decontaminate, op10_simhash, op11_structure_repair, op12_collocations, op13_lattice_dedup)
     return {f.__name__: f for f in ops}
 
 
@@ -135,6 +139,17 @@ QUALIFY rank <= 2000
 """
 
 
+_OP13 = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.k, b.k AS o FROM ok a JOIN ok b ON a.k <> b.k AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(k, o) AS (SELECT k, k FROM v UNION SELECT r.k, l.o FROM reach r JOIN link l ON r.o = l.k),
+c AS (SELECT r.k, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.k = r.o GROUP BY r.k),
+n AS (SELECT k, count(*) AS n FROM link GROUP BY k)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (k) LEFT JOIN n USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For the queries that SQL can express; the others are tested against brute force."""
-    return {"op3_warc": _OP3, "op5_quality_rules": _OP5, "op7_chat_format": _OP7, "op12_collocations": _OP12}
+    return {"op3_warc": _OP3, "op5_quality_rules": _OP5, "op7_chat_format": _OP7, "op12_collocations": _OP12, "op13_lattice_dedup": _OP13}
