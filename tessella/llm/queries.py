@@ -141,8 +141,9 @@ QUALIFY rank <= 2000
 
 _OP13 = """
 WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-ok AS (SELECT k, CASE WHEN len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 THEN list_transform(e, lambda x: coalesce(x, 0)) END AS e FROM v),
-link AS (SELECT a.k, b.k AS o FROM ok a JOIN ok b ON a.k <> b.k AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+ok AS (SELECT k, CASE WHEN len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 THEN e END AS e FROM v),
+l AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM ok WHERE e IS NOT NULL),
+link AS (SELECT a.k, b.k AS o FROM l a JOIN l b ON a.k <> b.k AND len(a.e) = len(b.e) AND list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) / (a.norm * b.norm) >= 0.95),
 reach(k, o) AS (SELECT k, k FROM v UNION SELECT r.k, l.o FROM reach r JOIN link l ON r.o = l.k),
 c AS (SELECT r.k, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.k = r.o GROUP BY r.k),
 n AS (SELECT k, count(*) AS n FROM link GROUP BY k)
