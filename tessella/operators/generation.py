@@ -76,22 +76,25 @@ def with_tools(found: DataFrame, tools: DataFrame, fallback: DataFrame) -> DataF
     return both.unionByName(fallback.join(both.select("query_id").distinct(), "query_id", "left_anti").select(*both.columns))
 
 
-def tool_passage(rows: DataFrame) -> DataFrame:
-    """Rows (query_id) as the tool's pseudo-passage: it has an id and a subdomain of its own, and no date."""
-    return rows.select("query_id", F.lit(1).alias("rank"), F.lit(T.TOOL_DOC).alias("doc_id"), F.lit("payslip").alias("domain"), F.lit("tool_output").alias("subdomain"), F.lit(None).cast("string").alias("effective_date"))
+def tool_passage(rows: DataFrame, order: int = 0) -> DataFrame:
+    """Rows (query_id, text) as the tool's pseudo-passages, text being their content: they have an id and a subdomain of their own, and no date."""
+    return rows.select("query_id", F.lit(order).cast("long").alias("rank"), F.lit(T.TOOL_DOC).alias("doc_id"), F.lit("payslip").alias("domain"), F.lit("tool_output").alias("subdomain"), F.lit(None).cast("string").alias("effective_date"), F.col("text").alias("content"))
 
 
-def formatted_policy(asked: DataFrame, policies: DataFrame) -> DataFrame:
-    """asked (identifier) with the policy's text as a tool gives it, by doc_id or else by section_id (the first row of an id, by _ord), or that there is none."""
-    cols = ("doc_id", "title", "domain", "effective_date", "content")
+def formatted_policy(asked: DataFrame, policies: DataFrame, keep: bool = False) -> DataFrame:
+    """asked (identifier) with the policy's text as a tool gives it, by doc_id or else by section_id (the first row of an id, by _ord), or that there is none;
+    `doc`, the policy itself, is kept if asked for."""
+    shown = ("doc_id", "title", "domain", "effective_date", "content")
+    cols = [*shown, *["subdomain"] * keep]
     by = lambda key, name: knowledge.one_per_key(policies.where(F.col(key).isNotNull()), key, ["_ord"]).select(F.col(key).alias("_id"), F.struct(*cols).alias(name))
     met = asked
     for key, name in (("doc_id", "_d"), ("section_id", "_s")):
         right = by(key, name)
         met = met.join(right, met["identifier"] == right["_id"], "left").drop("_id")
     p, show = F.coalesce("_d", "_s"), lambda c: F.coalesce(c, F.lit("None"))
-    text = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), show(p[c])) for c in cols[:4]], F.lit("content:"), F.coalesce(p["content"], F.lit("")))
-    return met.withColumn("text", F.when(p.isNull(), F.concat(F.lit("[GetPolicy] No document found for '"), F.col("identifier"), F.lit("'"))).otherwise(text)).drop("_d", "_s")
+    text = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), show(p[c])) for c in shown[:4]], F.lit("content:"), F.coalesce(p["content"], F.lit("")))
+    met = met.withColumn("text", F.when(p.isNull(), F.concat(F.lit("[GetPolicy] No document found for '"), F.col("identifier"), F.lit("'"))).otherwise(text))
+    return (met.withColumn("doc", p) if keep else met).drop("_d", "_s")
 
 
 def draw(key: Column, name: str, n: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import tables as T
-from tessella.operators import generation, retrieve, synthesis
+from tessella.functions import text as X
+from tessella.operators import agent, generation, retrieve, synthesis
 from tessella.plans import corpus
 from tessella.plans import slots as S
 from tessella.plans import sql as Q
@@ -85,11 +86,60 @@ def react_with_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the rounds found (nothing for some topics), the tool's output behind it for some, and the fallback where there is neither; own domain first."""
     h = corpus.topics(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string")).select("query_id", "rank", "doc_id", "domain", "subdomain", "effective_date")
     found = h.where("query_id % 3 <> 0 AND rank % 2 = 0 AND rank <= 8")
-    tools = generation.tool_passage(h.where("query_id % 4 = 1").select("query_id").distinct())
+    tools = generation.tool_passage(h.where("query_id % 4 = 1").select("query_id", F.lit("").alias("text")).distinct()).drop("content")
     every = generation.with_tools(found, tools, h.where("rank <= 4"))
     return retrieve.own_domain_first(every, F.expr(_DOMAINS)).select("query_id", "doc_id", "place")
 
 
+#: The agent's script: what a round does follows from the length n of the question, its words t, and the last observation.
+_TOPIC_OF = "CASE n % 3 WHEN 0 THEN 'pf' WHEN 1 THEN 'payslip' ELSE 'tax' END"
+_SEARCHES = f"""SELECT item_id * 4 + r AS query_id, CASE r WHEN 3 THEN text ELSE array_to_string(CASE r WHEN 0 THEN t[1:6] WHEN 1 THEN t[greatest(1, len(t) - 5):] ELSE t[4:9] END, ' ') END AS text
+ FROM (SELECT item_id, text, {corpus.SEARCH_SQL} AS t FROM benchmark), (VALUES (0), (1), (2), (3)) AS v(r)"""
+_AGENT = f"""{corpus._bm25_sql(corpus.SEARCH_SQL, True, 4, asked=_SEARCHES)}, h AS (SELECT query_id // 4 AS query_id, query_id % 4 AS r, rank, doc_id FROM hits),
+b AS (SELECT item_id AS query_id, length(text) AS n, {corpus.SEARCH_SQL} AS t, (SELECT arg_min(doc_id, rank) FROM h WHERE h.query_id = item_id AND r = 0) AS best FROM benchmark),
+t0 AS (SELECT *, CASE WHEN n % 7 = 0 THEN NULL WHEN n % 4 = 0 THEN 'ParsePayslip' ELSE 'SearchKB' END AS tool0 FROM b),
+t1 AS (SELECT *, CASE WHEN tool0 IS NULL THEN NULL WHEN tool0 = 'SearchKB' AND best IS NOT NULL AND n % 3 = 0 THEN 'GetPolicy' ELSE 'SearchKB' END AS tool1 FROM t0),
+t2 AS (SELECT *, CASE WHEN tool1 IS NOT NULL AND n % 5 > 1 THEN 'SearchKB' END AS tool2 FROM t1),
+e AS (SELECT h.query_id, r AS round, rank, doc_id FROM h JOIN t2 USING (query_id) WHERE (r = 0 AND tool0 = 'SearchKB') OR (r = 1 AND tool1 = 'SearchKB') OR (r = 2 AND tool2 = 'SearchKB')
+ UNION ALL SELECT query_id, 1, 0, doc_id FROM t2 JOIN documents ON doc_id = best + 1 WHERE tool1 = 'GetPolicy'),
+f AS (SELECT query_id, round * 10 + rank AS o, doc_id::VARCHAR AS doc_id, {corpus.DOMAIN} AS domain FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY round, rank) AS k FROM e) WHERE k = 1 UNION ALL SELECT query_id, 1000, '{T.TOOL_DOC}', 'payslip' FROM t2 WHERE tool0 = 'ParsePayslip'),
+w AS (SELECT * FROM f UNION ALL SELECT query_id, rank, doc_id::VARCHAR, {corpus.DOMAIN} FROM h WHERE r = 3 AND query_id NOT IN (SELECT query_id FROM f))"""
+
+
+def scripted(round_: int):
+    n, t = F.length("question"), X.search_tokens(F.col("question"))
+    search = lambda words: F.concat(F.lit('Thought: look.\nAction: SearchKB("'), F.array_join(words, " "), F.lit('")'))
+    if round_ == 0:
+        return F.when(n % 7 == 0, "Done: nothing to look up.").when(n % 4 == 0, "Action: ParsePayslip()").otherwise(search(F.slice(t, 1, 6)))
+    if round_ == 1:
+        seen = F.regexp_extract(F.element_at("turns", -1)["observation"], r"^doc_id=(\d+)", 1)
+        lookup = F.concat(F.lit("Action: GetPolicy('"), (seen.try_cast("long") + 1).cast("string"), F.lit("')"))
+        return F.when((seen != "") & (n % 3 == 0), lookup).otherwise(search(F.slice(t, F.greatest(F.lit(1), F.size(t) - 5), F.lit(6))))
+    return F.when(n % 5 == 0, "Thought: nothing more.").when(n % 5 == 1, "Done: I have enough information.").otherwise(search(F.slice(t, 4, 6)))
+
+
+def agent_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = corpus.documents(spark, sf_dir)
+    slots = F.create_map(F.lit("basic_salary"), (F.col("n") * 100).cast("string"), F.lit("state"), F.lit("Karnataka"))
+    asked = corpus.asked(spark, sf_dir).withColumn("n", F.length("text")).select("query_id", F.col("text").alias("question"), F.expr(_TOPIC_OF).alias("domain"), slots.alias("slots"))
+    kb = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("section_id"), F.col("source").alias("title"), "domain", "subdomain", "effective_date", F.col("text").alias("content"), F.col("doc_id").alias("_ord"))
+    return agent.gather(asked, scripted, lambda q, k: retrieve.bm25(docs, q, k), kb)
+
+
+@query(f"""{_AGENT} SELECT w.query_id, doc_id, row_number() OVER (PARTITION BY w.query_id ORDER BY (domain = {_TOPIC_OF})::INT DESC, o) AS place FROM w JOIN t2 USING (query_id)""")
+def agent_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as questions to an agent of three rounds with all three tools, over the documents."""
+    return agent_run(spark, sf_dir)[0].select("query_id", "doc_id", "place")
+
+
+@query(f"""{_AGENT}, c AS (SELECT query_id, 0 AS round, tool0 AS tool, CASE tool0 WHEN 'SearchKB' THEN array_to_string(t[1:6], ' ') END AS argument FROM t2
+ UNION ALL SELECT query_id, 1, tool1, CASE tool1 WHEN 'SearchKB' THEN array_to_string(t[greatest(1, len(t) - 5):], ' ') ELSE (best + 1)::VARCHAR END FROM t2 WHERE tool0 IS NOT NULL
+ UNION ALL SELECT query_id, 2, tool2, CASE WHEN tool2 IS NOT NULL THEN array_to_string(t[4:9], ' ') END FROM t2 WHERE tool1 IS NOT NULL) SELECT * FROM c""")
+def agent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of these agents: the tool and its argument, null where the question stopped."""
+    return agent_run(spark, sf_dir)[1].select("query_id", F.col("round").cast("int").alias("round"), "tool", "argument")
+
+
 @query(f"""WITH p AS (SELECT doc_id AS ord, CASE WHEN doc_id % 2 = 0 THEN concat('D', doc_id // 4) END AS id, concat('S', doc_id // 3) AS sec, source AS title, {corpus.DOMAIN} AS domain, {corpus.DATE} AS effective_date, coalesce(md5(text), '') AS content FROM documents),
 a AS (SELECT event_id AS n, CASE event_id % 3 WHEN 0 THEN concat('D', event_id // 7) WHEN 1 THEN concat('S', event_id // 5) ELSE concat('X', event_id) END AS identifier FROM events),
 t AS (SELECT *, 'doc_id: ' || coalesce(id, 'None') || chr(10) || 'title: ' || coalesce(title, 'None') || chr(10) || 'domain: ' || domain || chr(10) || 'effective_date: ' || coalesce(effective_date, 'None') || chr(10) || 'content:' || chr(10) || content AS text FROM p),

@@ -43,9 +43,10 @@ def test_passages_are_distinct_and_cross_documents_exist(spark):
 
 
 def test_tools_and_fallback(spark):
-    hit = "query_id long, rank int, doc_id string, domain string, subdomain string, effective_date string"
-    found, fallback = spark.createDataFrame([(1, 1, "A", "pf", "x", None)], hit), spark.createDataFrame([(n, 1, "F", "pf", "x", None) for n in (1, 2, 3)], hit)
-    tools = generation.tool_passage(spark.createDataFrame([(1,), (2,)], "query_id long"))
+    hit = "query_id long, rank int, doc_id string, domain string, subdomain string, effective_date string, content string"
+    found, fallback = spark.createDataFrame([(1, 1, "A", "pf", "x", None, "a")], hit), spark.createDataFrame([(n, 1, "F", "pf", "x", None, "f") for n in (1, 2, 3)], hit)
+    tools = generation.tool_passage(spark.createDataFrame([(1, "audit"), (2, "audit")], "query_id long, text string"))
+    assert {r["content"] for r in tools.collect()} == {"audit"}
     got = sorted((r["query_id"], r["rank"] > 1 << 29, r["doc_id"]) for r in generation.with_tools(found, tools, fallback).collect())
     assert got == [(1, False, "A"), (1, True, "TOOL_PAYSLIP_AUDIT"), (2, True, "TOOL_PAYSLIP_AUDIT"), (3, False, "F")]
 
