@@ -219,3 +219,23 @@ def refusal(question: Column) -> Column:
     text = F.concat(F.lit("**Result:** this question is outside the scope of provident fund, payslip, labour and tax help.\n\n**Where to go:** please consult "), to.otherwise(None),
                     F.lit(". They can look at your documents and your specific situation, which general sources can't cover. Bring earlier letters, account numbers and a short list of what happened and when, so that nothing has to be asked twice."))
     return F.struct(category.alias("category"), text.alias("answer"))
+
+
+def least_filled(items: DataFrame, order: str, fills: DataFrame) -> DataFrame:
+    """items with `dimension`: in the order of a column of distinct whole numbers, each goes to the least filled dimension that isn't full, of equal ones the first by
+    place; null once all are full. fills (dimension, place, n, target).
+
+    No item waits for the one before: the level of dimension d's next free place being L, as many places come before it as all dimensions have below L, and those of earlier
+    dimensions at L. Places are joined to items by that number.
+    """
+    f = fills.select("dimension", "place", F.col("n").cast("long").alias("n"), F.col("target").cast("long").alias("target"))
+    every = F.broadcast(f.agg(F.collect_list(F.struct("place", "n", "target")).alias("_all")))  # a row a dimension, fixed by the caller
+    level, place = F.col("_level"), F.col("place")
+    below = lambda a, x: a + F.greatest(F.lit(0), F.least(level, x["target"]) - x["n"])
+    at = lambda x: F.when((x["place"] < place) & (x["n"] <= level) & (level < x["target"]), 1).otherwise(0)
+    number = F.aggregate("_all", F.lit(0).cast("long"), lambda a, x: below(a, x) + at(x))
+    free = f.where("n < target").select("*", F.explode(F.sequence("n", F.col("target") - 1)).alias("_level")).crossJoin(every).select("dimension", number.alias("_number"))
+    from tessella.operators.generation import numbered
+
+    rows = numbered(items.withColumn("_one", F.lit(1)), ["_one"], F.floor(F.col(order) / SLICE), [order], "_number").drop("_one")
+    return rows.join(free, "_number", "left").drop("_number")

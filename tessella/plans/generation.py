@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import tables as T
 from tessella.functions import text as X
-from tessella.operators import agent, generation, retrieve, synthesis
+from tessella.operators import agent, closed_loop, generation, retrieve, synthesis
 from tessella.plans import corpus
 from tessella.plans import slots as S
 from tessella.plans import sql as Q
@@ -195,6 +195,61 @@ def generation_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generation.budgeted(e, TARGET, CAP, done=done).select("domain", "subdomain", "attempt")
 
 
+LOOP_BATCH = 16
+#: Intents by domain, with the subdomains that they fill first and those that give them room.
+LOOP_INTENTS = tuple((d, i, s) for d in ("pf", "payslip", "labour", "tax") for i, s in (("withdraw", ("withdrawal",)), ("move", ("transfer", "withdrawal")), ("leave", ("gratuity", "transfer"))))
+
+
+def loop_inputs(spark: SparkSession, sf_dir: str):
+    """(targets, intents, caps, make) of the generation loop over documents: a tenth of a domain's documents are wanted, and a candidate's passages are chosen by hashes."""
+    docs = corpus.documents(spark, sf_dir)
+    targets = docs.groupBy("domain").agg(F.greatest(F.lit(5), F.floor(F.count(F.lit(1)) / 10)).cast("long").alias("target"))
+    limits = docs.select("domain").distinct().select("domain", F.when(F.col("domain") == "payslip", 12).otherwise(60).alias("abs_cap"), F.lit(10).alias("per_doc"))
+    intents = spark.createDataFrame([(d, i, list(s), k) for k, (d, i, s) in enumerate(LOOP_INTENTS)], "domain string, intent string, subdomains array<string>, place int")
+
+    def make(picks: DataFrame) -> DataFrame:
+        asked = picks.select(F.concat_ws("|", "domain", "pick", "intent").alias("id"), "domain", "subdomain", F.array().cast("array<bigint>").alias("cross")).distinct()
+        found = generation.chosen_passages(asked, docs).select("id", F.posexplode("picked").alias("rank", "doc_id")).join(docs.select("doc_id", "text", "effective_date", F.col("domain").alias("of")), "doc_id")
+        hit = F.struct("rank", F.concat(F.lit("DOC_"), F.col("doc_id")).alias("doc_id"), "effective_date", F.col("of").alias("domain"), F.coalesce("text", F.lit("")).alias("content"))
+        got = found.groupBy("id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))  # three at most
+        made = picks.withColumn("id", F.concat_ws("|", "domain", "pick", "intent")).join(got, "id", "left")
+        short = F.length(F.coalesce(F.get("hits", 0)["content"], F.lit(""))) < 40
+        return made.withColumn("prompt", F.when(~short, X.prompt_block(F.col("hits")))).withColumn("allowed", F.col("hits.doc_id")).drop("id", "hits")
+
+    return targets, intents, closed_loop.subdomain_caps(docs, limits), make
+
+
+def loop_answer(prompt):
+    """A stand-in for a generator: it cites the first source and quotes what it was given."""
+    cite = F.regexp_extract(prompt, r"(DOC_\d+)", 1)
+    return F.concat(F.lit("**Result:** you are eligible ["), cite, F.lit("]. "), F.regexp_replace(F.substring(prompt, 1, 400), r"[\[\]]", " "))
+
+
+@query()
+def generation_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted and rejected candidates of a generation loop over documents, and each domain's end (a row without a pick)."""
+    g = closed_loop.run(*loop_inputs(spark, sf_dir), loop_answer, synthesis.sft_reason, batch=LOOP_BATCH)
+    none = lambda t: F.lit(None).cast(t)
+    both = g.accepted.withColumn("reason", F.lit("ok")).unionByName(g.rejected)
+    rows = both.select("domain", "pick", "intent", "reason", none("long").alias("n"), none("long").alias("attempts"), none("long").alias("rejects"), none("string").alias("why"))
+    return rows.unionByName(g.domains.select("domain", none("long").alias("pick"), none("string").alias("intent"), none("string").alias("reason"), "n", "attempts", "rejects", "why"))
+
+
+_FILLS = "SELECT source AS dimension, row_number() OVER (ORDER BY source) AS place, count(*) FILTER (quality = 1) AS n, 20 + 3 * count(*) FILTER (quality = 0) AS target FROM documents JOIN labels USING (doc_id) GROUP BY source"
+
+
+@query(f"""WITH f AS ({_FILLS}), s AS (SELECT dimension, row_number() OVER (ORDER BY level, place) AS k FROM (SELECT *, unnest(range(n, target)) AS level FROM f)), i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents)
+SELECT doc_id, dimension FROM i LEFT JOIN s USING (k)""")
+def least_filled_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt to the sources with the fewest good labelled ones, until each has its quota."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    fills = d.join(table(spark, sf_dir, "labels"), "doc_id").groupBy(F.col("source").alias("dimension")).agg(F.count_if(F.col("quality") == 1).alias("n"), (20 + 3 * F.count_if(F.col("quality") == 0)).alias("target"))
+    from pyspark.sql import Window
+
+    fills = fills.withColumn("place", F.row_number().over(Window.orderBy("dimension")))  # a row a source
+    return synthesis.least_filled(d.select("doc_id"), "doc_id", fills).select("doc_id", "dimension")
+
+
 @query(f"""WITH d AS (SELECT doc_id AS id, {corpus.DOMAIN} AS domain, {corpus.SUBDOMAIN} AS intent FROM documents), m AS (SELECT * FROM d WHERE id % 2 = 0 AND domain <> 'payslip' UNION ALL SELECT * FROM d WHERE id % 2 = 1),
 r AS (SELECT id, intent, row_number() OVER (PARTITION BY intent ORDER BY md5(id::VARCHAR || '|split'), id) AS k, count(*) OVER (PARTITION BY intent) AS n FROM m) SELECT id, CASE WHEN n >= 10 AND k <= greatest(1, floor(n * 0.1::DOUBLE)) THEN 'val' ELSE 'train' END AS split, md5(id::VARCHAR || '|shuffle') AS shuffle FROM r""")
 def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:

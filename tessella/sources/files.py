@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.storage import cut
+from tessella.sources import log
+
 KB_SCHEMA = (
     "doc_id string, title string, content string, source_url string, effective_date string, supersedes string, domain string, subdomain string, section_id string, source_type string, "
     "span_start int, span_end int, conditions array<string>, required_slots array<string>, forms array<string>, chunk_id string, chunk_index int, total_chunks int, language string, "
@@ -43,18 +47,10 @@ def _escaped(c: Column) -> Column:
     return F.lower(F.regexp_replace(units, "(.{4})", r"\\u$1"))
 
 
-def append_once(df: DataFrame, key: str, path: str) -> DataFrame:
-    """Appends the rows whose key a Parquet log doesn't have yet, and returns them: a generator that is run again goes on where it stopped."""
-    spark = df.sparkSession
-    try:
-        old = spark.read.parquet(path).select(key)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = df.select(key).limit(0)
-    new = df.join(old, key, "left_anti")
-    new.write.mode("append").parquet(path)
-    return new
+def append_once(df: DataFrame, key: str, path: str, order: list[str] | None = None, batch: str | None = None) -> DataFrame:
+    """Appends to a log (see sources.log) the first row of each key that it doesn't have yet, and returns those rows: a generator that is run again goes on where it
+    stopped. Rows of a key are told apart by the order columns, by default all. A write that is repeated under its batch's name adds nothing."""
+    return log.append(df, key, path, batch or uuid.uuid4().hex, order or df.columns)
 
 
 def split_accepted(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
@@ -109,11 +105,13 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json_array(df: DataFrame, path: str, order: str) -> None:
-    """One file that is a JSON array, in the order of a column: for small results that other programs read. The file is written as sorted
-    lines whose separators make them an array, so no task holds more than a line."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy(order)
-    last = F.lead(F.lit(1)).over(w).isNull()
-    line = F.concat(F.when(F.row_number().over(w) == 1, "[").otherwise(""), F.to_json(F.struct(*df.columns)), F.when(last, "]").otherwise(","))
-    df.select(order, line.alias("value")).coalesce(1).sortWithinPartitions(order).select("value").write.mode("overwrite").text(path)
+    """A JSON array, in the order of a column, as a folder of parts that are the array if they are put together in the order of their names. Rows are sorted across partitions,
+    and only the numbers of the first and last one reach the driver."""
+    lines = df.select(order, F.to_json(F.struct(*df.columns)).alias("_line")).repartitionByRange(order).sortWithinPartitions(order)
+    lines = cut(lines.select("_line", F.monotonically_increasing_id().alias("_id")), "json-array")
+    first, last = lines.agg(F.min("_id"), F.max("_id")).first()
+    if first is None:
+        df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    value = F.concat(F.when(F.col("_id") == first, "[").otherwise(""), "_line", F.when(F.col("_id") == last, "]").otherwise(","))
+    lines.withColumn("value", value).repartitionByRange("_id").sortWithinPartitions("_id").select("value").write.mode("overwrite").text(path)
