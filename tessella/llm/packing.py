@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -55,9 +56,21 @@ def encoder(path: str):
     return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added), set(added)
 
 
+#: Runs of white space that are too long for the pattern, whose look-ahead steps back through them.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
+
+
 def token_ids(text: str | None, path: str, end_id: int) -> np.ndarray:
+    """The ids of a text. A long run of white space is a piece of its own as far as the pattern takes it: up to its last character, which belongs to what follows, or whole
+    where nothing or an added token follows."""
     enc, special = encoder(path)
-    ids = enc.encode_to_numpy(text or "", allowed_special=special, disallowed_special=())
+    text, at, parts = text or "", 0, []
+    for run in LONG_SPACE.finditer(text):
+        whole = run.end() == len(text) or text.startswith(tuple(special), run.end())
+        stop = run.end() if whole else run.end() - 1
+        parts += [enc.encode_to_numpy(text[at : run.start()], allowed_special=special, disallowed_special=()), np.array(enc._encode_single_piece(text[run.start() : stop]), np.uint32)]
+        at = stop
+    ids = np.concatenate([*parts, enc.encode_to_numpy(text[at:], allowed_special=special, disallowed_special=())])
     return np.append(ids, np.array([end_id], ids.dtype)).astype("<u4")
 
 
