@@ -118,9 +118,10 @@ def test_contrastive(spark):
 
 def test_html_rows():
     page = "<table><tr><th>q</th></tr><tr><td> A <b>b</b></td><td>x&amp;y<td>z</tr><tr><td></td><td>n</td></tr></table><ul><li>one<ul><li>two</li></ul></li><li> </li></ul>"
-    got = html.entries(page, True)
+    got = list(html.entries(page, True))
+    assert [c for k, _, _, c in html.entries(page, True, once=True) if k == "item"] == ["one two", "two"]
     assert [(k, t, c) for k, _, t, c in got] == [("row", "A b", "x&y"), ("item", html.ITEM_TITLE, "one two"), ("item", html.ITEM_TITLE, "two"), ("item", html.ITEM_TITLE, "two")]
-    assert [n for _, n, _, _ in got] == list(range(4)) and html.entries(None, True) == [] and html.entries("<div>" * 5000, True) == []
+    assert [n for _, n, _, _ in got] == list(range(4)) and list(html.entries(None, True)) == [] and list(html.entries("<div>" * 5000, True)) == []
 
 
 def test_files(spark, tmp_path):
@@ -146,6 +147,19 @@ def test_files(spark, tmp_path):
     assert [(r["text"][:5], r["start"], r["end"]) for r in pages] == [("the l", 0, 18), ("ppppp", 18, 78)]
 
 
+def test_html_of_any_depth_and_reference():
+    """Pages of several MB that nest deeply or hold very long references are read in seconds."""
+    import time
+
+    began = time.time()
+    assert list(html.entries("<div>" * 300_000 + "<ul><li>x</ul>", True)) == [("item", 0, html.ITEM_TITLE, "x")]
+    assert list(html.entries("<table>" + "<tr><td>" * 100_000, True)) == []
+    assert len(list(html.entries("<ul><li>a" * 2000, True, once=True))) == 2000
+    for ref, want in (("&#" + "9" * 5_000_000 + ";", "\ufffd"), ("&#" + "0" * 5_000_000 + "65;", "A"), ("&#x" + "f" * 5000 + ";", "\ufffd"), ("&#00000000065;", "A"), ("&#12345678", "\ufffd"), ("&#0000000128512;", "😀"), ("&#000000000", "\ufffd")):
+        assert [c for *_, c in html.entries(f"<ul><li>{ref}</li></ul>", True)] == [want], ref[:40]
+    assert time.time() - began < 60
+
+
 def test_endpoints(spark):
     calls = []
 
