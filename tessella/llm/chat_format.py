@@ -12,7 +12,8 @@ control string, and backslashes are doubled, so that the original comes back exa
 A conversation is one record and is held as a whole, as is its output; other state is bounded by a batch.
 
 Defined results: a null text or role is empty; turns are ordered by turn, then role, then text, null turns first, and
-repeated rows stay. Conversations of a null id are one. An empty table gives an empty result.
+repeated rows stay. Conversations of a null id are one. An empty table gives an empty result. A template that raises without turns writes nothing there, so what it writes ahead of the
+first turn is part of that turn's span. Renderings are quadratic in a conversation's turns. Columns other than the four named aren't read and may have any name.
 """
 
 from __future__ import annotations
@@ -74,9 +75,17 @@ class Formatted:
 PROBES = ("\ue000", "\ue001")
 
 
+def _rendered_empty(render: Callable[[list[Turn]], str]) -> str:
+    """What a template writes before any turn; nothing for one that needs a turn, whatever it raises without."""
+    try:
+        return render([])
+    except Exception:
+        return ""
+
+
 def locate(turns: list[Turn], render: Callable[[list[Turn]], str] = template) -> Formatted:
     """Renders the prefixes of a conversation and takes every turn's span from two outputs in a row."""
-    before, spans, texts = render([]) if turns else "", [], []
+    before, spans, texts = _rendered_empty(render) if turns else "", [], []
     for k, (role, _) in enumerate(turns):
         out = render(turns[: k + 1])
         one, two = (render([*turns[:k], (role, p)]) for p in PROBES)

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessella.sources.html import bounded_references
+
 TRAIN_PAGES = 1400
 TREES, DEPTH, RATE, BINS, VOCABULARY = 80, 5, 0.3, 24, 150
 #: Share of the nodes that each tree is fitted to.
@@ -71,7 +73,7 @@ class Tree:
     def _run(self) -> None:
         """Ends the run of text: white space becomes one space."""
         if self._parts:
-            text = " ".join(html_lib.unescape("".join(self._parts)).split())
+            text = " ".join(html_lib.unescape(bounded_references("".join(self._parts))).split())
             if text:
                 self._add("#run", (), text, min(self._linked, len(text)))
         self._parts, self._linked = [], 0

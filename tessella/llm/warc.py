@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SPLIT_BYTES = 8 << 20
 SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: The header of records whose URL is escaped.
+ESCAPED = "X-Target-URI-Escaped"
 RECORD_ID = "<urn:tessella:page:{}>"
 
 
@@ -58,7 +61,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     block = http if refers_to is not None else http + payload
     head = [VERSION.decode() + "1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {RECORD_ID.format('' if page_id is None else page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if any(c in url for c in "\r\n") else f"WARC-Target-URI: {url}")
+        if url != url.strip() or any(c in url for c in "\r\n"):  # what a header line can't hold, with a mark of its own
+            head += [f"{ESCAPED}: percent", "WARC-Target-URI: " + "".join(f"%{ord(c):X};" if c == "%" or c.isspace() else c for c in url)]
+        else:
+            head.append(f"WARC-Target-URI: {url}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: {RECORD_ID.format(refers_to)}", f"WARC-Profile: {PROFILE}"]
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -162,14 +168,14 @@ def parse(whole: bytes) -> dict:
     if kind == "response" and (base32_sha1(payload), len(payload)) != (digest, int(http["content-length"])):
         raise ValueError(f"the payload of {warc['warc-record-id']} is damaged")
     url = warc.get("warc-target-uri")
-    if url and ("%0D" in url or "%0A" in url):
-        url = url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
+    if url is not None and ESCAPED.lower() in warc:
+        url = re.sub("%([0-9A-F]+);", lambda m: chr(int(m[1], 16)), url)
     return {"page_id": _page(warc["warc-record-id"]), "url": url, "payload_bytes": int(http["content-length"]), "payload_digest": digest, "record_type": kind, "refers_to": _page(warc.get("warc-refers-to")), "payload": payload if kind == "response" else None}
 
 
 def read(spark: SparkSession, files: list[tuple[str, int, int]], split_bytes: int = SPLIT_BYTES, payloads: bool = False) -> DataFrame:
     """The records of the files (file, bytes, ...), a task for each range of split_bytes; with payloads, also a binary payload (null for revisits)."""
-    splits = [(f[0], at, min(at + split_bytes, f[1])) for f in files for at in range(0, f[1], split_bytes)]
+    n = sum(-(-f[1] // split_bytes) for f in files)
     names = SCHEMA + ", payload binary" * payloads
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +195,9 @@ def read(spark: SparkSession, files: list[tuple[str, int, int]], split_bytes: in
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    ranges = spark.createDataFrame(splits, "file string, start long, stop long")
-    return ranges.repartition(max(1, len(splits))).mapInArrow(of, names)
+    each = spark.createDataFrame([(f[0], f[1]) for f in files if f[1]], "file string, size long")
+    ranges = each.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    return ranges.select("file", "start", F.least(F.col("start") + split_bytes, F.col("size")).alias("stop")).repartition(max(1, n)).mapInArrow(of, names)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, split_bytes: int = SPLIT_BYTES) -> DataFrame:

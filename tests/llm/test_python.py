@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,14 @@ def test_math_svg_and_object_are_read(extractor):
     assert "E=mc holds." in got and got.endswith("last")
 
 
+def test_references_of_any_length(extractor):
+    """A page with references of several MB is read, and says what a short one would."""
+    word = "word " * 80
+    page = lambda ref: f"<html><body><article><h1>T</h1><p>{word}{ref} end</p></article></body></html>"
+    for ref, want in (("&#" + "7" * 5_000_000 + ";", "\ufffd"), ("&#" + "0" * 5_000_000 + "65;", "A"), ("&#x" + "0" * 5000 + "41;", "A"), ("&#99999999;", "\ufffd"), ("&#1114112;", "\ufffd")):
+        assert extractor([page(ref)]) == extractor([page(want)]) and want in extractor([page(ref)])[0], ref[:30]
+
+
 def test_decoding_never_contradicts_and_is_best():
     import itertools
 
@@ -103,7 +112,7 @@ def test_decoding_never_contradicts_and_is_best():
 def test_warc_round_trip(spark):
     table = spark.read.parquet(f"{SF}/pages.parquet")
     nested = warc.record(7, "u", b"inner" * 50, None, warc.base32_sha1(b"inner" * 50)).decode("latin-1")
-    extra = spark.createDataFrame([(100_000, "u", None), (100_001, None, ""), (100_002, "u\r\nX: y%0D", "same"), (100_003, "u", "same"), (99_999, "u", "same"), (100_004, "u", nested), (100_005, "u", "é" * 300_000), (100_006, "u", "w" * 3_000_000)], "page_id long, url string, html string")
+    extra = spark.createDataFrame([(100_000, "u", None), (100_001, None, ""), (100_002, "u\r\nX: y%0D", "same"), (100_003, "u", "same"), (99_999, "u", "same"), (100_004, "u", nested), (100_005, "u", "é" * 300_000), (100_006, "u", "w" * 3_000_000), (100_007, "http://x/a%0Db", "p"), (100_008, " \thttp://x/a b%20;% ", "q"), (100_009, "%A;\u2003", "r"), (100_010, "", "s")], "page_id long, url string, html string")
     pages = table.select("page_id", "url", "html").unionByName(extra).repartition(3)
     rows = pages.collect()
     first = {}
@@ -201,6 +210,17 @@ def test_chat_round_trip():
         assert back == turns and loss == [t for role, t in turns if role == "assistant"]
 
 
+def test_chat_templates_that_need_a_turn():
+    for e in (IndexError, ValueError, RuntimeError):
+        def render(turns, e=e):
+            if not turns:
+                raise e("no turn")
+            return f"<{turns[0][0]} first>" + "".join(f"[{r}:{t}]" for r, t in turns)
+
+        f = chat_format.locate([("user", "a"), ("assistant", "b")], render)
+        assert not f.rewrites_history and f.spans == [(0, 20), (20, 33)] and [f.output[a:b] for a, b in f.texts] == ["a", "b"]
+
+
 def test_chat_templates_that_rewrite_history():
     last_only = lambda turns: "".join(f"[{r}:{t if k == len(turns) - 1 or r == 'user' else '...'}]" for k, (r, t) in enumerate(turns))
     turns = [("user", "a"), ("assistant", "b"), ("user", "c")]
@@ -392,3 +412,17 @@ def test_token_ids_are_those_of_the_library():
     texts += [c * n for c in ("a", " ", "\n", "ab", "=", "é", "😀", "0", "\t ", "a ") for n in (31, 1000, 5000)]
     for s in texts:
         assert packing.token_ids(s, path, 2).tolist() == [*t.encode(s, add_special_tokens=False).ids, 2], repr(s[:80])
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\t \xa0", "ab", "7", "=", "é", " a"])
+def test_token_ids_of_runs_of_five_megabytes(unit):
+    """Runs of each class of the pattern, by themselves, before a word and before an added token."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    t = Tokenizer.from_file(path)
+    added = next(iter(t.get_added_tokens_decoder().values())).content
+    for size, ends in ((5_000_000, ("x",)), (120_000, ("", "word", " word", "\nx", added, f" {added} "))):
+        for end in ends:
+            s = "y" + unit * (size // len(unit)) + end
+            assert np.array_equal(packing.token_ids(s, path, 2), np.array([*t.encode(s, add_special_tokens=False).ids, 2]))
