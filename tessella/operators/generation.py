@@ -37,14 +37,15 @@ def conditions(passages: DataFrame, intents: tuple[str, ...] = T.REASONING_INTEN
 
 
 def reasoned(questions: DataFrame, found: DataFrame) -> DataFrame:
-    """questions (query_id, slots: a string map) with `r`, the resolution of their conditions; a question without any escalates. A question's conditions are
-    as many as there are fields and operators at most."""
+    """questions (query_id, slots: a string map) with `r`, the resolution of their conditions; a question without any escalates, one whose `intent`, if there is such a column, isn't
+    reasoned about has no resolution. A question's conditions are as many as there are fields and operators at most."""
     met = found.join(questions.select("query_id", "slots"), "query_id")
     value = F.try_element_at("slots", F.col("field"))
     one = F.struct("rank", "pos", "field", "operator", "value", "doc_id", "mandatory", value.alias("slot_value"), R.status(value, F.col("operator"), F.col("value")).alias("status"))
     kept = met.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("_c"))
     none = F.array().cast(kept.schema["_c"].dataType)
-    return questions.join(kept, "query_id", "left").withColumn("r", R.resolved(F.coalesce("_c", none))).drop("_c")
+    runs = F.col("intent").isin(*T.REASONING_INTENTS) if "intent" in questions.columns else F.lit(True)
+    return questions.join(kept, "query_id", "left").withColumn("r", F.when(runs, R.resolved(F.coalesce("_c", none)))).drop("_c")
 
 
 def trace_text(r: Column) -> Column:

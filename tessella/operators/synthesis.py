@@ -82,8 +82,9 @@ def rejected_reason(answer: Column, chosen: Column, dimension: Column) -> Column
 
 def flip_verdict(answer: Column, key: Column) -> Column:
     """The opposite verdict, and one threshold of the answer changed to a wrong one."""
-    for pattern, put in T.FLIPS:
-        answer = F.regexp_replace(answer, pattern, put)
+    opposite = F.create_map(*[F.lit(x) for kv in T.OPPOSITES.items() for x in kv])
+    flipped = lambda text, said: F.array_join(F.zip_with(text, said, lambda t, v: F.concat(t, F.coalesce(F.try_element_at(opposite, v), F.lit("")))), "")
+    answer = flipped(F.split(answer, T.VERDICT), F.regexp_extract_all(answer, F.lit(T.VERDICT), F.lit(0)))
 
     def changed(t: Column, one: Column) -> Column:
         at = F.instr(t, one["old"])

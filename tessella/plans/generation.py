@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import tables as T
 from tessella.functions import text as X
-from tessella.operators import agent, closed_loop, generation, retrieve, synthesis
+from tessella.operators import agent, answering, closed_loop, generation, retrieve, synthesis
 from tessella.plans import corpus
 from tessella.plans import slots as S
 from tessella.plans import sql as Q
@@ -30,7 +32,7 @@ def reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = F.create_map(
         F.lit("service_years"), F.when(q % 7 != 0, (q % 12).cast("string")), F.lit("age"), (q % 80).cast("string"), F.lit("kyc_status"), F.when(q % 3 == 0, "complete").when(q % 3 == 1, " Done "),
         F.lit("balance"), F.when(q % 6 != 0, ((q * 977) % 12000).cast("string")), F.lit("employment_status"), F.when(q % 2 == 0, "retired"))
-    questions = hits.select("query_id").distinct().withColumn("slots", slots)
+    questions = hits.select("query_id", "intent").distinct().withColumn("slots", slots)
     return generation.reasoned(questions, generation.conditions(hits))
 
 
@@ -49,29 +51,32 @@ g AS (SELECT query_id, count(*) FILTER (mandatory AND met) AS met, count(*) FILT
  string_agg('    ⚠ ' || field || ' ' || operator || ' ' || coalesce(value, 'None') || ' [' || doc || ']', chr(10) ORDER BY rank, pos) FILTER (NOT mandatory AND met) AS l_warn,
  string_agg('    ? ' || field || ' — slot missing', chr(10) ORDER BY rank, pos) FILTER (mandatory AND met IS NULL) AS l_open FROM m GROUP BY query_id),
 o AS (SELECT a.query_id, coalesce(met, 0) AS met, coalesce(failed, 0) AS failed, coalesce(unresolved, 0) AS unresolved, coalesce(warnings, 0) AS warnings, coalesce(n, 0) AS n, first_open, l_met, l_failed, l_warn, l_open FROM (SELECT DISTINCT query_id FROM h) a LEFT JOIN g USING (query_id)),
-d AS (SELECT *, CASE WHEN failed > 0 THEN 'ANSWER' WHEN unresolved > 0 THEN 'ASK' WHEN n = 0 THEN 'ESCALATE' ELSE 'ANSWER' END AS decision, CASE WHEN failed > 0 THEN false WHEN unresolved > 0 OR n = 0 THEN NULL ELSE true END AS eligible, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE round_even((met + failed) / n, 2) END AS coverage FROM o)"""
-_TRACE = """concat_ws(chr(10), 'ELIGIBILITY REASONING TRACE:', '  Decision : ' || decision, CASE WHEN eligible THEN '  Eligible : True' WHEN NOT eligible THEN '  Eligible : False' END, '  Coverage : ' || coverage::VARCHAR,
- '  Met conditions:' || chr(10) || l_met, '  Failed conditions:' || chr(10) || l_failed, '  Warnings (non-blocking):' || chr(10) || l_warn, '  Unresolved:' || chr(10) || l_open)"""
+e AS (SELECT *, {_INTENT} IN ({', '.join(map(Q.text, T.REASONING_INTENTS))}) AS runs FROM o),
+d AS (SELECT *, CASE WHEN NOT runs OR failed > 0 THEN 'ANSWER' WHEN unresolved > 0 THEN 'ASK' WHEN n = 0 THEN 'ESCALATE' ELSE 'ANSWER' END AS decision, CASE WHEN NOT runs THEN NULL WHEN failed > 0 THEN false WHEN unresolved > 0 OR n = 0 THEN NULL ELSE true END AS eligible,
+ CASE WHEN NOT runs THEN 1.0::DOUBLE WHEN n = 0 THEN 0.0::DOUBLE ELSE round_even((met + failed) / n, 2) END AS coverage FROM e)"""
+_TRACE = """CASE WHEN NOT runs THEN '' ELSE concat_ws(chr(10), 'ELIGIBILITY REASONING TRACE:', '  Decision : ' || decision, CASE WHEN eligible THEN '  Eligible : True' WHEN NOT eligible THEN '  Eligible : False' END, '  Coverage : ' || coverage::VARCHAR,
+ '  Met conditions:' || chr(10) || l_met, '  Failed conditions:' || chr(10) || l_failed, '  Warnings (non-blocking):' || chr(10) || l_warn, '  Unresolved:' || chr(10) || l_open) END"""
 
 
 @query(f"""{REASONED} SELECT query_id, decision, eligible, coverage, met, failed, unresolved, warnings, CASE WHEN failed = 0 THEN coalesce(q.question, CASE WHEN first_open IS NOT NULL THEN 'Could you provide your ' || replace(first_open, '_', ' ') || '?' END) END AS question,
  {_TRACE} AS trace FROM d LEFT JOIN {Q.pairs(T.REASONER_QUESTIONS, 'q(field, question)')} ON q.field = first_open""")
 def reasoner_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decision, question and trace of every topic; a topic without conditions escalates."""
+    """Decision, question and trace of every topic; a topic without conditions escalates, one that isn't reasoned about is answered with full coverage and no trace."""
     r = reasoned(spark, sf_dir)
-    return r.select("query_id", "r.decision", "r.eligible", "r.coverage", *[F.size(f"r.{n}").cast("long").alias(n) for n in ("met", "failed", "unresolved", "warnings")], "r.question", generation.trace_text(F.col("r")).alias("trace"))
+    sizes = [F.coalesce(F.size(f"r.{n}"), F.lit(0)).cast("long").alias(n) for n in ("met", "failed", "unresolved", "warnings")]
+    return r.select("query_id", F.coalesce("r.decision", F.lit("ANSWER")).alias("decision"), "r.eligible", F.coalesce("r.coverage", F.lit(1.0)).alias("coverage"), *sizes, "r.question", answering.traced(F.col("r")).alias("trace"))
 
 
 _SLOT_LINES = """array_to_string(list_filter(['  "service_years": "' || CASE WHEN query_id % 7 <> 0 THEN (query_id % 12) END || '"', '  "age": "' || (query_id % 80) || '"', CASE query_id % 3 WHEN 0 THEN '  "kyc_status": "complete"' WHEN 1 THEN '  "kyc_status": " Done "' END,
  '  "balance": "' || CASE WHEN query_id % 6 <> 0 THEN (query_id * 977) % 12000 END || '"', CASE WHEN query_id % 2 = 0 THEN '  "employment_status": "retired"' END], lambda x: x IS NOT NULL), ',' || chr(10))"""
 
 
-@query(f"""{REASONED} SELECT query_id, 'USER QUERY:' || chr(10) || 'topic ' || query_id || chr(10) || chr(10) || 'DOMAIN: pf' || chr(10) || chr(10) || 'RETRIEVED PASSAGES:' || chr(10) || '-' || chr(10) || chr(10) || CASE WHEN decision = 'ESCALATE' THEN '' ELSE {_TRACE} END || chr(10) || chr(10) ||
+@query(f"""{REASONED} SELECT query_id, 'USER QUERY:' || chr(10) || 'topic ' || query_id || chr(10) || chr(10) || 'DOMAIN: pf' || chr(10) || chr(10) || 'RETRIEVED PASSAGES:' || chr(10) || '-' || chr(10) || chr(10) || {_TRACE} || chr(10) || chr(10) ||
  'SLOTS FILLED:' || chr(10) || '{{' || chr(10) || {_SLOT_LINES} || chr(10) || '}}' || chr(10) || chr(10) || 'Produce the final answer now.' AS text FROM d""")
 def generator_input_with_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a generator reads, with the reasoner's trace (an empty one where it escalates) and slots as indented JSON."""
+    """What a generator reads, with the reasoner's trace (an empty one where it didn't run) and slots as indented JSON."""
     r = reasoned(spark, sf_dir)
-    trace = F.when(F.col("r.decision") == "ESCALATE", "").otherwise(generation.trace_text(F.col("r")))
+    trace = answering.traced(F.col("r"))
     return r.select("query_id", corpus.generator_text(F.concat(F.lit("topic "), F.col("query_id")), F.lit("pf"), F.lit("-"), trace, generation.json_indented(F.col("slots"))).alias("text"))
 
 
@@ -284,16 +289,18 @@ def gate_against_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{corpus._knn_sql(3)} SELECT * FROM hits")
 def index_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors written as an index, read back and asked for three neighbours, with distances."""
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/vector-index"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/vector-index-{uuid.uuid4().hex}"
     files.write_vectors(table(spark, sf_dir, "embeddings"), path)
     v = files.read_vectors(spark, path)
     return retrieve.knn(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 3)
 
 
-@query("SELECT check_, ok FROM (VALUES ('has decisions', true), ('asks have questions', true), ('answers have no question', true), ('coverage is a share', true), ('escalations have no conditions', true)) AS v(check_, ok)")
+@query(f"""{REASONED}, chk AS (SELECT bool_and(decision IN ('ANSWER', 'ASK', 'ESCALATE')) AS a, bool_and(decision <> 'ASK' OR first_open IS NOT NULL) AS b, bool_and(decision <> 'ANSWER' OR failed > 0 OR first_open IS NULL OR NOT runs) AS c, bool_and(coverage BETWEEN 0 AND 1) AS d,
+ bool_and(decision <> 'ESCALATE' OR met + failed + unresolved = 0) AS e FROM d)
+SELECT unnest(['has decisions', 'asks have questions', 'answers have no question', 'coverage is a share', 'escalations have no conditions']) AS check_, unnest([a, b, c, d, e]) AS ok FROM chk""")
 def smoke_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of every resolution, as a row a check."""
-    r = reasoned(spark, sf_dir).select("query_id", "r.*")
+    r = reasoned(spark, sf_dir).where("r IS NOT NULL").select("query_id", "r.*")
     every = lambda c: F.coalesce(F.every(c), F.lit(True))
     n = F.size("met") + F.size("failed") + F.size("unresolved")
     checks = {"has decisions": F.col("decision").isin("ANSWER", "ASK", "ESCALATE"), "asks have questions": (F.col("decision") != "ASK") | F.col("question").isNotNull(), "answers have no question": (F.col("decision") != "ANSWER") | F.col("question").isNull(),

@@ -151,9 +151,9 @@ def slot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flipped(c: str) -> str:
-    for p, r in T.FLIPS:
-        c = f"regexp_replace({c}, {Q.text(p)}, {Q.text(r)}, 'g')"
-    return c
+    opposite = "MAP {" + ", ".join(f"{Q.text(k)}: {Q.text(v)}" for k, v in T.OPPOSITES.items()) + "}"
+    parts, said = f"regexp_split_to_array({c}, {Q.text(T.VERDICT)})", f"regexp_extract_all({c}, {Q.text(T.VERDICT)})"
+    return f"array_to_string(list_transform(list_zip({parts}, {said}), lambda z: z[1] || coalesce({opposite}[z[2]], '')), '')"
 
 
 _THERE = "list_filter([" + ", ".join(f"CASE WHEN contains(f, {Q.text(p)}) THEN {{'old': {Q.text(p)}, 'new': {_choice('doc_id', f'wrong{n}', tuple(map(Q.text, ps)))}}} END" for n, (p, ps) in enumerate(T.WRONG_THRESHOLDS)) + "], lambda x: x IS NOT NULL)"

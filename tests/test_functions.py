@@ -7,7 +7,7 @@ from tessella.functions import rules as R
 from tessella.functions import slots as S
 from tessella.functions import tables as T
 from tessella.functions import text as X
-from tessella.operators import knowledge
+from tessella.operators import knowledge, synthesis
 
 
 def one(spark, expr, **values):
@@ -128,3 +128,14 @@ def test_chunks():
     assert [c for c, _ in knowledge.chunk(words(400))][0] == "" and knowledge.chunk("") == []
     parts = knowledge.chunk(" ".join(words(150) for _ in range(5)))
     assert parts[1][1] == len(parts[0][0])
+
+
+def test_every_verdict_turns_into_its_opposite(spark):
+    """In one pass, so that nothing is turned twice."""
+    want = {
+        "You are eligible. He is Not eligible, they are ineligible.": "You are Not eligible. He is Eligible, they are Eligible.", "This is correct and that is incorrect": "This is incorrect and that is correct",
+        "EPF— **matches** it": "EPF— **does not match** it", "EPF — **matches**": "EPF — **matches**", "it matches expected pay": "it does not match expected pay", "not applicable, applicable": "applicable, not applicable",
+        "Applicable: Yes": "not applicable: No", "Applicable: No": "not applicable: No", "Applicable: None": "not applicable: None", "Not applicable": "Not not applicable", "eligible": "Not eligible", "noneligible misapplicable": "noneligible misapplicable", "": "", "eligibleeligible": "eligibleeligible",
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(want)], "id long, t string")
+    assert {r["t"]: r["f"] for r in df.select("t", synthesis.flip_verdict(F.col("t"), F.col("id")).alias("f")).collect()} == want
