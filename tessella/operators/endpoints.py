@@ -44,6 +44,26 @@ def column(endpoint: Endpoint, prompt: Column, batch: int = 64, tries: int = 3,
     return call(prompt)
 
 
+Encoder = Callable[[list[str]], list[list[float]]]
+
+
+def vectors(encoder: Encoder, text: Column, batch: int = 64) -> Column:
+    """An encoder's vectors as a column; null texts aren't sent."""
+
+    @F.pandas_udf("array<double>")
+    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out: list[list[float] | None] = [None] * len(s)
+            ask = [k for k, t in enumerate(s) if t is not None]
+            for at in range(0, len(ask), batch):
+                part = ask[at : at + batch]
+                for k, v in zip(part, encoder([s.iloc[k] for k in part]), strict=True):
+                    out[k] = [float(x) for x in v]
+            yield pd.Series(out, dtype=object)
+
+    return call(text)
+
+
 def echo_generator(prompts: list[str]) -> list[str]:
     """Answers that cite the prompt's sources, so that what follows can be run without a model."""
     out = []

@@ -69,8 +69,8 @@ def chunk(text: str, limit: int = T.CHUNK_WORDS, overlap: int = T.CHUNK_OVERLAP)
     return out
 
 
-def chunks(docs: DataFrame, text: Column, limit: int = T.CHUNK_WORDS, overlap: int = T.CHUNK_OVERLAP) -> DataFrame:
-    """(doc_id, chunk_index, total_chunks, content, span_start, span_end) of every document. A text is folded in one pass, in time linear in its length."""
+def chunks(docs: DataFrame, text: Column, limit: int = T.CHUNK_WORDS, overlap: int = T.CHUNK_OVERLAP, key: str = "long") -> DataFrame:
+    """(doc_id: of type key, chunk_index, total_chunks, content, span_start, span_end) of every document. A text is folded in one pass, in time linear in its length."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,10 +79,10 @@ def chunks(docs: DataFrame, text: Column, limit: int = T.CHUNK_WORDS, overlap: i
                 parts = chunk(t or "", limit, overlap)
                 out += [(i, k, len(parts), s, a, a + len(s)) for k, (s, a) in enumerate(parts)]
             cols = list(zip(*out, strict=True)) or [()] * 6
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            types = [pa.string() if key == "string" else pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "chunk_index", "total_chunks", "content", "span_start", "span_end"])
 
-    return docs.select("doc_id", text.alias("t")).mapInArrow(of, "doc_id long, chunk_index int, total_chunks int, content string, span_start long, span_end long")
+    return docs.select("doc_id", text.alias("t")).mapInArrow(of, f"doc_id {key}, chunk_index int, total_chunks int, content string, span_start long, span_end long")
 
 
 def chunk_rows(chunked: DataFrame, domain: str, year: int) -> DataFrame:

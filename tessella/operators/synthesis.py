@@ -206,6 +206,20 @@ def contrastive_pairs(rows: DataFrame, quota: int | None = None) -> DataFrame:
     return rows.where("reason = 'ok'").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= quota).drop("_n")
 
 
+def records(rows: DataFrame, slots: dict[str, Column], **fields: Column) -> DataFrame:
+    """(prompt, full_prompt, chosen, rejected, metadata) of rows with full_prompt, chosen and rejected. metadata is a VARIANT of the fields and of `slots`, each of its own type; what is null is left
+    out, so that records of different intents have different members."""
+    members = F.struct(*[c.alias(n) for n, c in fields.items()], F.struct(*[c.alias(n) for n, c in slots.items()]).alias("slots"))
+    return rows.select(F.left("full_prompt", F.lit(1500)).alias("prompt"), "full_prompt", "chosen", "rejected", F.parse_json(F.to_json(members)).alias("metadata"))
+
+
+def read_record(line: Column) -> Column:
+    """A record's struct out of its line of JSON; members of metadata are read by path, with variant_get."""
+    v = F.try_parse_json(line)
+    get = lambda n: F.try_variant_get(v, f"$.{n}", "string").alias(n)
+    return F.struct(get("prompt"), get("full_prompt"), get("chosen"), get("rejected"), F.try_variant_get(v, "$.metadata", "variant").alias("metadata"))
+
+
 REDIRECTS = {
     "legal": "a lawyer or the legal services authority", "medical": "a doctor", "investment": "a registered adviser", "visa": "the embassy or an immigration office", "other": "the authority in charge",
 }

@@ -19,6 +19,17 @@ def committed(spark: SparkSession, path: str) -> list[str]:
     return sorted(p.toString() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def folder(path: str, batch: int) -> str:
+    """The folder of a numbered batch, whose name sorts by number."""
+    return f"{path.rstrip('/')}/batch={batch:012d}"
+
+
+def newest(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """The rows of the last committed batch (of those with a smaller number); none where there is none."""
+    found = [p for p in committed(spark, path) if before is None or p.rstrip("/").rsplit("/", 1)[-1] < folder("", before).lstrip("/")]
+    return spark.read.schema(schema).parquet(found[-1]) if found else spark.createDataFrame([], schema)
+
+
 def read(spark: SparkSession, path: str, schema) -> DataFrame:
     """The rows of all committed batches; none where there is no log yet."""
     folders = committed(spark, path)
