@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import answers as A
+from tessella.functions import rules as R
 from tessella.functions import tables as T
 from tessella.functions import text as X
 
@@ -220,6 +222,77 @@ def read_record(line: Column) -> Column:
     return F.struct(get("prompt"), get("full_prompt"), get("chosen"), get("rejected"), F.try_variant_get(v, "$.metadata", "variant").alias("metadata"))
 
 
+AMOUNTS = ("months_unemployed", "service_years", "pf_withdrawal_amount", "basic_salary", "epf_deducted", "gross_salary", "esi_deducted", "employment_years", "last_drawn_salary", "notice_period_days", "annual_income", "rent_paid", "section_80c_investments")
+NAMES = ("kyc_status", "uan_status", "state", "termination_reason", "tax_regime", "city_type")
+
+
+def intent_slots(rows: DataFrame, key: str) -> DataFrame:
+    """rows with `intent`, drawn by the key's hash, and its slots, of their own types; those of other intents are null. Deductions are right for about 60 of 100 rows."""
+    k = F.col(key)
+    rows = rows.withColumn("intent", choice(k, "intent", tuple(A.RANGES)))
+    intent = F.col("intent")
+    for names, kind in ((AMOUNTS, "long"), (NAMES, "string")):
+        for n in names:
+            value = F
+            for i, slots in A.RANGES.items():
+                if n in slots:
+                    value = value.when(intent == i, choice(k, n, slots[n]).cast(kind))
+            rows = rows.withColumn(n, F.lit(None).cast(kind) if value is F else value)
+    due, due_esi = F.bround(F.col("basic_salary") * F.lit(0.12)).cast("long"), F.bround(F.col("gross_salary") * F.lit(0.0075)).cast("long")
+    right = draw(k, "right", 100) < 60
+    epf = F.when(intent == "verify_epf", F.when(right, due).otherwise(due + choice(k, "off", (-450, -200, 350))))
+    esi = F.when(intent == "verify_esi", F.when(F.col("gross_salary") > 21000, F.when(right, 0).otherwise(150)).when(right, due_esi).otherwise(due_esi + choice(k, "off", (-40, 25, 60))))
+    return rows.withColumns({"epf_deducted": epf.cast("long"), "esi_deducted": esi.cast("long")})
+
+
+def intent_answers(rows: DataFrame) -> DataFrame:
+    """rows of intent_slots() with `allowed` (the ids to cite), and `verdict`, `amount`, `share` and `chosen`: the answer of intent and verdict."""
+    c, i = F.col, F.col("intent")
+    metro = c("city_type") == "metro"
+    monthly = F.floor(c("annual_income") / 12).cast("long")
+    amount = (
+        F.when(i == "tds_query", R.tds_on_withdrawal(c("pf_withdrawal_amount"), c("service_years"))).when(i == "verify_epf", R.epf(c("basic_salary"))["expected"]).when(i == "verify_esi", R.esi(c("gross_salary"))["expected"])
+        .when(i == "gratuity", R.gratuity(c("last_drawn_salary"), c("employment_years"))).when(i == "hra_exemption", R.hra_parts(monthly, c("rent_paid"), metro)["rent_less_tenth"]).when(i == "deductions_80c", R.section_80c(c("section_80c_investments"), c("tax_regime")))
+    )
+    rows = rows.withColumn("amount", amount).withColumn("share", F.when(i == "hra_exemption", R.hra_parts(monthly, c("rent_paid"), metro)["share_of_basic"]))
+    near = lambda a: F.abs(a - c("amount")) <= 1
+    verdict = (
+        F.when(i == "full_withdrawal", F.when(c("months_unemployed") < 2, "early").when(c("service_years") >= 5, "untaxed").otherwise("taxed")).when(i == "tds_query", F.when(c("service_years") >= 5, "long").when(c("pf_withdrawal_amount") <= 50000, "small").otherwise("due"))
+        .when(i == "transfer", F.when((c("uan_status") == "active") & (c("kyc_status") == "complete"), "ready").otherwise("blocked")).when(i == "verify_epf", F.when(near(c("epf_deducted")), "right").otherwise("wrong"))
+        .when(i == "verify_esi", F.when(c("gross_salary") > 21000, F.when(c("esi_deducted") == 0, "exempt").otherwise("undue")).when(near(c("esi_deducted")), "right").otherwise("wrong")).when(i == "gratuity", F.when(c("employment_years") < 5, "short").otherwise("due"))
+        .when(i == "deductions_80c", F.when(c("tax_regime") == "new_regime", "none").otherwise("claim")).otherwise("only")
+    )
+    rows, form = rows.withColumn("verdict", verdict), F
+    for (intent, v), text in A.SAYS.items():
+        form = form.when((i == intent) & (c("verdict") == v), text + A.THEN)
+    values = {n: F.format_number(n, 0) for n in (*AMOUNTS, "amount", "share")} | {n: F.replace(n, F.lit("_"), F.lit(" ")) for n in NAMES} | {"cite": F.get("allowed", 0)}
+    return rows.withColumn("chosen", X.fill(form.otherwise(None), F.create_map(*[x for n, v in values.items() for x in (F.lit(n), v)])))
+
+
+def uncovered(domain: Column, cite: Column) -> Column:
+    """(chosen, rejected) for a question that the sources don't cover: sent on to the domain's office, and answered without ground."""
+    office = F
+    for d, o in A.OFFICES.items():
+        office = office.when(domain == d, o)
+    put = lambda text: F.replace(F.replace(F.lit(text), F.lit("{office}"), office.otherwise(A.OFFICES["pf"])), F.lit("{cite}"), cite)
+    return F.struct(put(A.UNCOVERED).alias("chosen"), put(A.MADE_UP).alias("rejected"))
+
+
+REFUSALS_OF_TEN = 3
+
+
+def refusal_pairs(rows: DataFrame) -> DataFrame:
+    """rows (id, question, domain, allowed) as pairs of a refusal and an answer without ground: three of ten, by the id's hash, as out of scope, the others as not covered; with the
+    validators' reason."""
+    scope = draw(F.col("id"), "kind", 10) < REFUSALS_OF_TEN
+    cite = F.get("allowed", 0)
+    made = rows.withColumn("kind", F.when(scope, "out_of_scope").otherwise("not_covered")).withColumn("category", F.when(scope, refusal(F.col("question"))["category"]))
+    made = made.withColumn("chosen", F.when(scope, refusal(F.col("question"))["answer"]).otherwise(uncovered(F.col("domain"), cite)["chosen"])).withColumn("rejected", uncovered(F.col("domain"), cite)["rejected"])
+    dimension = F.lit("refusal_and_escalation")
+    first, second = chosen_reason(F.col("chosen"), F.col("allowed"), dimension), rejected_reason(F.col("rejected"), F.col("chosen"), dimension)
+    return made.withColumn("reason", F.when(first != "ok", first).otherwise(second))
+
+
 REDIRECTS = {
     "legal": "a lawyer or the legal services authority", "medical": "a doctor", "investment": "a registered adviser", "visa": "the embassy or an immigration office", "other": "the authority in charge",
 }

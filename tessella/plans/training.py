@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import answers as A
 from tessella.functions import rules as R
 from tessella.functions import slots as S
 from tessella.functions import tables as T
@@ -286,6 +287,54 @@ def pair_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupingSets([["intent"], []], "intent").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ranged(name: str) -> str:
+    one = " ".join(f"WHEN intent = '{i}' THEN {_choice('id', name, tuple(map(Q.text, v[name])) if isinstance(v[name][0], str) else v[name])}" for i, v in A.RANGES.items() if name in v)
+    return f"CASE {one} END AS {name}"
+
+
+_DRAWN = [n for n in (*synthesis.AMOUNTS, *synthesis.NAMES) if any(n in v for v in A.RANGES.values())]
+_INTENTS = f"""WITH i AS (SELECT c_custkey AS id, {_choice('c_custkey', 'intent', tuple(map(Q.text, A.RANGES)))} AS intent FROM customer), v0 AS (SELECT id, intent, {', '.join(map(_ranged, _DRAWN))} FROM i),
+v1 AS (SELECT *, {_draw('id', 'right', 100)} < 60 AS ok, round_even(basic_salary * 0.12::DOUBLE, 0)::BIGINT AS due, round_even(gross_salary * 0.0075::DOUBLE, 0)::BIGINT AS due_esi FROM v0),
+v AS (SELECT *, CASE WHEN intent = 'verify_epf' THEN CASE WHEN ok THEN due ELSE due + {_choice('id', 'off', (-450, -200, 350))} END END AS epf_deducted,
+ CASE WHEN intent = 'verify_esi' THEN CASE WHEN gross_salary > 21000 THEN CASE WHEN ok THEN 0 ELSE 150 END WHEN ok THEN due_esi ELSE due_esi + {_choice('id', 'off', (-40, 25, 60))} END END AS esi_deducted FROM v1),
+a AS (SELECT *, CASE intent WHEN 'tds_query' THEN CASE WHEN service_years >= 5 OR pf_withdrawal_amount <= 50000 THEN 0 ELSE round_even(pf_withdrawal_amount * 0.1::DOUBLE, 0)::BIGINT END WHEN 'verify_epf' THEN due WHEN 'verify_esi' THEN CASE WHEN gross_salary <= 21000 THEN due_esi ELSE 0 END
+ WHEN 'gratuity' THEN CASE WHEN employment_years >= 5 THEN trunc(last_drawn_salary * 15 * employment_years / 26)::BIGINT ELSE 0 END WHEN 'hra_exemption' THEN rent_paid - round_even((annual_income // 12) * 0.1::DOUBLE, 0)::BIGINT
+ WHEN 'deductions_80c' THEN CASE WHEN tax_regime = 'new_regime' THEN 0 ELSE least(section_80c_investments, 150000) END END AS amount,
+ CASE WHEN intent = 'hra_exemption' THEN round_even((annual_income // 12) * CASE WHEN city_type = 'metro' THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END, 0)::BIGINT END AS share FROM v),
+w AS (SELECT *, CASE intent WHEN 'full_withdrawal' THEN CASE WHEN months_unemployed < 2 THEN 'early' WHEN service_years >= 5 THEN 'untaxed' ELSE 'taxed' END WHEN 'tds_query' THEN CASE WHEN service_years >= 5 THEN 'long' WHEN pf_withdrawal_amount <= 50000 THEN 'small' ELSE 'due' END
+ WHEN 'transfer' THEN CASE WHEN uan_status = 'active' AND kyc_status = 'complete' THEN 'ready' ELSE 'blocked' END WHEN 'verify_epf' THEN CASE WHEN ok THEN 'right' ELSE 'wrong' END
+ WHEN 'verify_esi' THEN CASE WHEN gross_salary > 21000 THEN CASE WHEN ok THEN 'exempt' ELSE 'undue' END WHEN ok THEN 'right' ELSE 'wrong' END WHEN 'gratuity' THEN CASE WHEN employment_years < 5 THEN 'short' ELSE 'due' END
+ WHEN 'deductions_80c' THEN CASE WHEN tax_regime = 'new_regime' THEN 'none' ELSE 'claim' END ELSE 'only' END AS verdict FROM a),
+t AS (SELECT *, CASE {' '.join(f"WHEN intent = '{i}' AND verdict = '{v}' THEN {Q.text(text + A.THEN)}" for (i, v), text in A.SAYS.items())} END AS form FROM w)"""
+_FILLED = "form"
+for _n in (*synthesis.AMOUNTS, "amount", "share"):
+    _FILLED = f"replace({_FILLED}, '{{{_n}}}', coalesce(format('{{:,}}', {_n}::BIGINT), ''))"
+for _n in synthesis.NAMES:
+    _FILLED = f"replace({_FILLED}, '{{{_n}}}', coalesce(replace({_n}, '_', ' '), ''))"
+_FILLED = f"replace({_FILLED}, '{{cite}}', 'DOC_' || (id % 50))"
+
+
+@query(f"{_INTENTS} SELECT id, intent, verdict, amount::BIGINT AS amount, share::BIGINT AS share, {_FILLED} AS chosen FROM t")
+def intent_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer of one of thirteen intents for every customer, out of slots of four domains."""
+    rows = synthesis.intent_slots(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id").withColumn("allowed", F.array(F.concat(F.lit("DOC_"), F.col("id") % 50)))
+    return synthesis.intent_answers(rows).select("id", "intent", "verdict", "amount", "share", "chosen")
+
+
+_SENT = "CASE domain " + " ".join(f"WHEN '{d}' THEN {Q.text(o)}" for d, o in A.OFFICES.items()) + " END"
+
+
+@query(f"""WITH q AS (SELECT conv_id * 1000 + turn AS id, lower(coalesce(text, '')) AS q, coalesce(text, '') AS text, 'DOC_' || (length(coalesce(text, '')) % 50) AS cite FROM conversations WHERE role = 'user'),
+k AS (SELECT *, {_draw('id', 'kind', 10)} < {synthesis.REFUSALS_OF_TEN} AS scope, {Q.ladder('q', T.OUT_OF_SCOPE, chr(39) + 'other' + chr(39))} AS category, {Q.route('q')} AS domain FROM q)
+SELECT id, CASE WHEN scope THEN 'out_of_scope' ELSE 'not_covered' END AS kind, CASE WHEN scope THEN category END AS category, CASE WHEN NOT scope THEN md5(replace(replace({Q.text(A.UNCOVERED)}, '{{office}}', {_SENT}), '{{cite}}', cite)) END AS chosen, md5(replace({Q.text(A.MADE_UP)}, '{{cite}}', cite)) AS rejected, 'ok' AS reason FROM k""")
+def refusal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's message refused, as out of scope or for lack of knowledge, beside an answer without ground."""
+    q = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = q.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question"), S.route(F.col("text")).alias("domain"), F.array(F.concat(F.lit("DOC_"), F.length("text") % 50)).alias("allowed"))
+    made = synthesis.refusal_pairs(rows)
+    return made.select("id", "kind", "category", F.when(F.col("kind") == "not_covered", F.md5("chosen")).alias("chosen"), F.md5("rejected").alias("rejected"), "reason")
+
+
 @query(f"""SELECT conv_id, turn, {Q.ladder("lower(coalesce(text, '') || CASE (conv_id + turn) % 5 WHEN 0 THEN ' can I sue?' WHEN 1 THEN ' crypto tips' WHEN 2 THEN ' a visa' ELSE '' END)", T.OUT_OF_SCOPE, chr(39) + 'other' + chr(39))} AS category FROM conversations""")
 def out_of_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The category of refusal of every message, with a question put behind it."""

@@ -193,3 +193,24 @@ def test_event_windows_as_streams(spark):
     dedup = state.run_once(spark, state.deduplicated(src, "1 hour", ["event_id"]), base.shared_dir(spark))
     assert dedup.count() == e.select("event_id").distinct().count()
     assert state.windowed(e, "1 day").agg(F.sum("n")).first()[0] == e.count() == state.sessions(e, "6 hours").agg(F.sum("n")).first()[0]
+
+
+def test_answers_of_all_intents_pass_the_validator(spark):
+    """Every intent and verdict is made, and is accepted as a chosen answer; slots of other intents are null."""
+    from tessella.functions import answers
+
+    rows = synthesis.intent_slots(spark.range(4000), "id").withColumn("allowed", F.array(F.lit("DOC_1"), F.lit("DOC_2")))
+    made = synthesis.intent_answers(rows).withColumn("reason", synthesis.chosen_reason(F.col("chosen"), F.col("allowed"), F.lit("grounding")))
+    got = {(r["intent"], r["verdict"]): r["reasons"] for r in made.groupBy("intent", "verdict").agg(F.collect_set(F.coalesce("reason", F.lit("null"))).alias("reasons")).collect()}
+    assert set(got) == set(answers.SAYS) and all(v == ["ok"] for v in got.values()), got
+    assert made.where("chosen LIKE '%{%' OR chosen IS NULL").count() == 0
+    assert made.where("intent = 'gratuity' AND (basic_salary IS NOT NULL OR kyc_status IS NOT NULL)").count() == 0
+    one = made.where("intent = 'gratuity' AND verdict = 'due'").first()
+    assert one["amount"] == one["last_drawn_salary"] * 15 * one["employment_years"] // 26
+
+
+def test_refusals_pass_the_validator(spark):
+    q = spark.createDataFrame([(k, ["can I sue?", "visa", "weather", ""][k % 4], ["pf", "payslip", "labour", "tax", None][k % 5], ["A_1"]) for k in range(400)], "id long, question string, domain string, allowed array<string>")
+    got = synthesis.refusal_pairs(q).collect()
+    assert {r["reason"] for r in got} == {"ok"} and {r["kind"] for r in got} == {"out_of_scope", "not_covered"}
+    assert 0.2 < sum(r["kind"] == "out_of_scope" for r in got) / len(got) < 0.4 and all("{" not in r["chosen"] + r["rejected"] for r in got)
