@@ -136,6 +136,10 @@ def cell_of(key: Column, cells: int) -> Column:
     return F.shiftright(key, 62 - cells.bit_length() + 1).cast("int")
 
 
+#: Bytes of text in a partition of the exchange.
+PART_BYTES = 64 << 20
+
+
 def assign(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "doc_id", tolerance: float = 0.001) -> DataFrame:
     """docs with size, shard and slot (gapless from 0 in each shard, in the order of key and tie)."""
     own = ["_key", "_tie", "_number", "_at", "_heavy", "_part", "_step"]
@@ -149,11 +153,13 @@ def assign(docs: DataFrame, shards: int, text: str = "text", doc_id: str = "doc_
     if any(c for _, _, c in splitters):  # equal rows that a splitter cuts: written once, so that their numbers hold
         equal = materialise(keyed.where(cut).withColumn("_row", F.monotonically_increasing_id()), "shard-equal")
         keyed = keyed.where(~cut).unionByName(gapless(equal.drop("_number"), ["_key", "_tie"], ["_row"], "_number").drop("_row"))
-    cells = 1 << max(10, (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(keys.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
+    cells = 1 << max(10, (4 * parts - 1).bit_length())
     placed = keyed.withColumns({"shard": shard_of(F.col("_key"), F.col("_tie"), splitters, F.col("_number")), "_at": cell_of(F.col("_key"), cells)})
     placed = placed.join(F.broadcast(heavy_keys(keys, cells)), "_at", "left")
     # Parts of a cell, in order: below its first heavy key, that key, between it and the next, and so on; a heavy key's part goes on by steps of its ties.
     mine = let(F.col("_key"), lambda k: F.get(F.filter("_heavy", lambda h: h["key"] == k), 0)["step"])
     part = let(F.col("_key"), lambda k: 2 * F.size(F.filter("_heavy", lambda h: h["key"] < k)) + F.exists("_heavy", lambda h: h["key"] == k).cast("int"))
     placed = placed.withColumns({"_part": F.when(F.col("_heavy").isNull(), 0).otherwise(part), "_step": F.coalesce(F.expr("_tie").cast("long") / mine, F.lit(0)).cast("int")}).drop("_heavy")
-    return gapless(placed, ["shard"], ["_key", "_tie", "_number"], "slot", slices=["_at", "_part", "_step"]).drop(*own)
+    slices = ["_at", "_part", "_step"]
+    return gapless(placed.repartition(parts, "shard", *slices), ["shard"], ["_key", "_tie", "_number"], "slot", slices=slices).drop(*own)
