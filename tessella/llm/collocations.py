@@ -37,7 +37,7 @@ LEAST, LEAST_WORDS, MOST_WORDS, SHARE, TOP = 10, 2, 3, 50, 2000
 #: Words with more than one in so many occurrences are hot: there are fewer of them than this. Prefixes of two hot words are split in SPLIT.
 HOT, SPLIT = 256, 64
 #: Tokens projected at a time, rows of an exchange's partition, and rows of a prefix of two words that are held before they are folded.
-TOKENS, PART_ROWS, FOLD = 1 << 21, 2_000_000, 1 << 19
+TOKENS, PART_ROWS, FOLD = 1 << 20, 2_000_000, 1 << 19
 
 
 def _lower(c: Column) -> Column:
@@ -74,11 +74,11 @@ def projections(docs: DataFrame, seed: int, most_words: int, text: str = "text",
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = np.concatenate((b.column("ids").flatten().to_numpy(), np.zeros(most_words, np.int64)))
-            for a in range(0, len(flat) - most_words, TOKENS):
-                part = flat[a : min(a + TOKENS + most_words - 1, len(flat))]
+            flat = b.column("ids").flatten().to_numpy()
+            for a in range(0, len(flat), TOKENS):
+                n = min(TOKENS, len(flat) - a)
+                part = np.concatenate((flat[a : a + n + most_words - 1], np.zeros(most_words, np.int64)))
                 words, rank = np.unique(part, return_inverse=True)
-                n = min(TOKENS, len(flat) - most_words - a)
                 start = np.flatnonzero((part[:n] != 0) & (part[1 : n + 1] != 0))
                 goes_on, code, span = np.ones(len(start), bool), np.zeros(len(start), np.int64), 1
                 none = int(np.searchsorted(words, 0))
