@@ -460,3 +460,12 @@ def test_histogram_shards_against_a_full_sort(spark):
         assert abs(below - mean * (s + 1)) <= 0.001 * mean + largest, s
     same = histogram_shards.assign(spark.createDataFrame([(1, "equal")] * 1000, "doc_id long, text string"), 24).groupBy("shard").count().collect()
     assert len(same) == 24 and max(r["count"] for r in same) - min(r["count"] for r in same) <= 1
+
+
+def test_shards_are_exchanged_in_partitions_of_bounded_bytes(spark, monkeypatch):
+    """The number of partitions follows the bytes of the texts."""
+    docs = spark.createDataFrame([(k, f"text {k} " * 50, "en", "s", 0) for k in range(400)], DOC)
+    total = sum(len(f"text {k} " * 50) + 8 for k in range(400))
+    monkeypatch.setattr(histogram_shards, "PART_BYTES", 5000)
+    made = histogram_shards.assign(docs, 24)
+    assert made.rdd.getNumPartitions() >= total // 5000 and made.count() == 400
