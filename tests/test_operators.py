@@ -214,3 +214,44 @@ def test_refusals_pass_the_validator(spark):
     got = synthesis.refusal_pairs(q).collect()
     assert {r["reason"] for r in got} == {"ok"} and {r["kind"] for r in got} == {"out_of_scope", "not_covered"}
     assert 0.2 < sum(r["kind"] == "out_of_scope" for r in got) / len(got) < 0.4 and all("{" not in r["chosen"] + r["rejected"] for r in got)
+
+
+def test_bm25_in_passes_and_blocks(spark, monkeypatch):
+    """Many queries: the same hits in several passes and blocks, and no documents times queries are joined or exchanged."""
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+    docs = [(i, " ".join(r.choices(words, weights=range(1, 41), k=r.randint(1, 30)))) for i in range(300)]
+    docs += [(i + 1000, t) for i, t in docs[:50]]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([(i, " ".join(r.choices([*words, "none"], k=r.randint(0, 6)))) for i in range(60)], "query_id long, text string")
+    run = lambda: retrieve.bm25(d, q, 4, positive_only=False)
+    whole = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(retrieve, "SENT_WEIGHTS", 50)
+    monkeypatch.setattr(retrieve, "BLOCK", 7)
+    made = run()
+    assert sorted(map(tuple, made.collect())) == whole
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(doc_id" not in plan
+    tokens = {i: t.split() for i, t in docs}
+    mean, n = sum(map(len, tokens.values())) / len(tokens), len(tokens)
+    idf = {w: math.log(n - (k := sum(w in t for t in tokens.values())) + 0.5) - math.log(k + 0.5) for w in words}
+    low = sum(idf.values()) / len(idf) * 0.25
+    idf = {w: low if x < 0 else x for w, x in idf.items()}
+    want = []
+    for i, text in q.collect():
+        score = {j: round(sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in text.split() if w in t), 6) for j, t in tokens.items() if set(text.split()) & set(t)}
+        want += [(i, j, k + 1, score[j]) for k, j in enumerate(sorted(score, key=lambda j: (-score[j], j))[:4])]
+    assert whole == sorted(want)
+
+
+def test_knn_in_passes(spark, monkeypatch):
+    """Queries in several passes give the same hits, and no vectors are packed or joined with queries."""
+    r = random.Random(4)
+    df = spark.createDataFrame([(i, [float(r.randint(-3, 3)) for _ in range(4)]) for i in range(90)], "vec_id long, embedding array<float>")
+    run = lambda: retrieve.knn(df, df.withColumnRenamed("vec_id", "query_id"), 3)
+    whole = sorted(map(tuple, run().collect()))
+    monkeypatch.setattr(retrieve, "SENT_NUMBERS", 100)
+    made = run()
+    assert sorted(map(tuple, made.collect())) == whole and len(whole) == 270
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan
