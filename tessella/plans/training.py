@@ -194,9 +194,10 @@ def trace_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, base_ok, system_ok): the router against always answering pf."""
+    """(id, base_ok, system_ok): the router against always answering pf. The question is one value of the router's: a filter on the verdict, which the optimizer
+    moves below this step, would otherwise put the question's whole expression in place of every keyword's look at it."""
     q = questions(spark, sf_dir)
-    return q.select("id", "domain", (F.col("domain") == "pf").alias("base_ok"), (F.col("domain") == S.route(F.col("q"))).alias("system_ok"))
+    return q.select("id", "domain", (F.col("domain") == "pf").alias("base_ok"), (F.col("domain") == X.once(F.col("q"), S.route)).alias("system_ok"))
 
 
 _TWO = f"WITH x AS (SELECT id, domain, lower(q) AS q FROM {QUESTIONS_SQL}), t AS (SELECT id, domain, domain = 'pf' AS base_ok, domain = {Q.route('q')} AS system_ok FROM x)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import tables as T
 from tessella.operators import conversation, endpoints, knowledge, metrics, retrieve, synthesis
-from tessella.plans import base, slots
+from tessella.plans import base, slots, training
 from tessella.sources import files, html
 from tessella.streaming import state
 
@@ -255,3 +255,9 @@ def test_knn_in_passes(spark, monkeypatch):
     assert sorted(map(tuple, made.collect())) == whole and len(whole) == 270
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "collect_list" not in plan
+
+
+def test_plan_of_changed_verdicts_is_small(spark):
+    """The question is in the plan a few times, not once for each keyword of the router."""
+    plan = training.fixed_broken(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000 and plan.count("Kochi in Kerala") <= 2
