@@ -128,7 +128,8 @@ def agent_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     slots = F.create_map(F.lit("basic_salary"), (F.col("n") * 100).cast("string"), F.lit("state"), F.lit("Karnataka"))
     asked = corpus.asked(spark, sf_dir).withColumn("n", F.length("text")).select("query_id", F.col("text").alias("question"), F.expr(_TOPIC_OF).alias("domain"), slots.alias("slots"))
     kb = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("section_id"), F.col("source").alias("title"), "domain", "subdomain", "effective_date", F.col("text").alias("content"), F.col("doc_id").alias("_ord"))
-    return agent.gather(asked, scripted, lambda q, k: retrieve.bm25(docs, q, k), kb)
+    index = retrieve.indexed(docs)
+    return agent.gather(asked, scripted, lambda q, k: retrieve.bm25(index, q, k), kb)
 
 
 @query(f"""{_AGENT} SELECT w.query_id, doc_id, row_number() OVER (PARTITION BY w.query_id ORDER BY (domain = {_TOPIC_OF})::INT DESC, o) AS place FROM w JOIN t2 USING (query_id)""")

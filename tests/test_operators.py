@@ -261,3 +261,14 @@ def test_plan_of_changed_verdicts_is_small(spark):
     """The question is in the plan a few times, not once for each keyword of the router."""
     plan = training.fixed_broken(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 100_000 and plan.count("Kochi in Kerala") <= 2
+
+
+def test_searches_of_an_index_count_the_documents_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(retrieve, "cut", lambda df, label, real=retrieve.cut: made.append(label) or real(df, label))
+    d = spark.createDataFrame([(1, "apple pear apple"), (2, "pear plum"), (3, "fig"), (4, "fig date"), (5, None)], "doc_id long, text string")
+    asked = [spark.createDataFrame([(1, t)], "query_id long, text string") for t in ("apple pear", "fig", "none")]
+    index = retrieve.indexed(d)
+    got = [retrieve.bm25(index, q, 2).collect() for q in asked]
+    assert made.count("document-frequencies") == made.count("document-codes") == 1
+    assert got == [retrieve.bm25(d, q, 2).collect() for q in asked] and list(map(len, got)) == [2, 2, 0]
