@@ -135,7 +135,8 @@ def _unit_hashes() -> np.ndarray:
 
 HIT = "id long, at long, size int, literal boolean, hash long, slots array<string>"
 _HIT = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("size", pa.int32()), ("literal", pa.bool_()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
-CHUNK = 4 << 20
+#: Bytes of texts that are cut into tokens at once; tokens take about 48 bytes of memory a byte, twice over for texts that are case-folded.
+CHUNK = 1 << 20
 
 
 def _chunks(ids: list, texts: pa.Array) -> Iterator[tuple[list, list[bytes]]]:

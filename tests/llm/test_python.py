@@ -426,3 +426,18 @@ def test_token_ids_of_runs_of_five_megabytes(unit):
         for end in ends:
             s = "y" + unit * (size // len(unit)) + end
             assert np.array_equal(packing.token_ids(s, path, 2), np.array([*t.encode(s, add_special_tokens=False).ids, 2]))
+
+
+def test_decontamination_takes_bounded_memory_a_batch():
+    """A batch of many texts is cut into tokens a bounded number of bytes at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["Wörter and 12 Names of Places in texts " * 50] * 4000)
+    tracemalloc.start()
+    for _, some in decontaminate._chunks(list(range(len(texts))), texts):
+        decontaminate.folded(some, decontaminate.Tokens(some)).windows(decontaminate.WINDOW, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
