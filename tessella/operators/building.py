@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,15 @@ from tessella.sources import log
 MARK = "\ue000"
 
 
+def _starts(marked: Column) -> Column:
+    """Where each page begins in a clean text that is marked between its pages, in one pass over it."""
+
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [*accumulate(map(len, t.split(MARK)[:-1]), initial=0)])
+
+    return F.pandas_udf(of, "array<long>")(marked)
+
+
 def kb_rows(pages: DataFrame, date: str, limit: int = 384, overlap: int = 64) -> DataFrame:
     """Knowledge-base rows, a row a chunk, of pages (path, page: from 1, text) of documents.
 
@@ -23,8 +35,7 @@ def kb_rows(pages: DataFrame, date: str, limit: int = 384, overlap: int = 64) ->
     p = pages.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))).alias("p"))
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.[^.]*$", "")
     whole = X.clean(F.array_join("p.text", " "))
-    parts = F.split(X.clean(F.array_join("p.text", f" {MARK}")), MARK)
-    starts = F.transform(F.sequence(F.lit(1), F.size("p")), lambda k: F.aggregate(F.slice(parts, F.lit(1), k - 1), F.lit(0).cast("long"), lambda n, t: n + F.length(t)))
+    starts = _starts(X.clean(F.array_join("p.text", f" {MARK}")))
     docs = p.withColumns({"_text": whole, "_starts": starts, "title": stem}).withColumn("domain", X.topic(F.col("_text")))
     docs = docs.withColumn("doc_id", F.concat_ws("_", "domain", F.lit(date[:4]), "title"))
     docs = cut(docs.select(F.col("path").alias("source_file"), "doc_id", "title", "domain", F.col("p.page").alias("page_numbers"), "_text", "_starts", F.xxhash64("path").alias("_key")), "kb-pages")

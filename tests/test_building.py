@@ -109,3 +109,13 @@ def test_records_keep_types_through_json_lines(spark, tmp_path):
     get = lambda p, t: F.try_variant_get("metadata", p, t)
     got = back.select(get("$.n", "long").alias("n"), get("$.slots.basic_salary", "long"), get("$.slots.pregnant", "boolean"), get("$.slots.rate", "double"), get("$.slots.state", "string"), get("$.slots.years", "int"), get("$.ids[1]", "string"), "chosen").orderBy("n").collect()
     assert [tuple(x) for x in got] == [(1, 12000, True, 7.5, "Goa", None, "B", "c"), (2, None, None, None, None, 3, "B", "é")]
+
+
+def test_pages_of_a_long_document_are_placed_in_one_pass(spark):
+    """A document of 3000 pages; each page's place was found by cleaning the whole document again."""
+    import time
+
+    p = spark.createDataFrame([("d.pdf", k + 1, f"page text  number {k} of many\n") for k in range(3000)], "path string, page int, text string")
+    began = time.time()
+    rows = building.kb_rows(p, "2026-01-31").select("span_start", "pages_hit").orderBy("span_start").collect()
+    assert max((r["pages_hit"] for r in rows), key=len) == list(range(1, 3001)) and time.time() - began < 60
