@@ -284,8 +284,10 @@ def contrastive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""{_PAY}, t AS (SELECT id, ({str(['verify_epf', 'verify_esi', 'full_audit'])})[{_draw('id', 'intent', 3)} + 1] AS intent FROM s) SELECT intent, count(*) AS n FROM t GROUP BY GROUPING SETS ((intent), ())""")
 def pair_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pair_rows(spark, sf_dir).where("chosen IS NOT NULL")
-    return p.groupingSets([["intent"], []], "intent").agg(F.count(F.lit(1)).alias("n"))
+    # Counted, not filtered: a filter would go below every step of the slots and put their whole expressions in place of each name.
+    p = pair_rows(spark, sf_dir).select("intent", F.col("chosen").isNotNull().alias("made"))
+    n = p.groupingSets([["intent"], []], "intent").agg(F.count_if("made").alias("n"), F.grouping_id().alias("whole"))
+    return n.where("n > 0 OR whole > 0").select("intent", "n")
 
 
 def _ranged(name: str) -> str:

@@ -272,3 +272,10 @@ def test_searches_of_an_index_count_the_documents_once(spark, monkeypatch):
     got = [retrieve.bm25(index, q, 2).collect() for q in asked]
     assert made.count("document-frequencies") == made.count("document-codes") == 1
     assert got == [retrieve.bm25(d, q, 2).collect() for q in asked] and list(map(len, got)) == [2, 2, 0]
+
+
+def test_pairs_are_counted_without_a_filter_on_their_text(spark):
+    """A filter on the answer would bring the slots' expressions, many times over, down to the table."""
+    made = training.pair_statistics(spark, SF)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000 and {r["intent"] for r in made.collect()} == {None, "verify_epf", "verify_esi", "full_audit"}
