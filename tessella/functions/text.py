@@ -113,7 +113,7 @@ def slot_key(slots: Column) -> Column:
 def fill(template: Column, slots: Column) -> Column:
     """A template with its {slot}s filled from a string map; null if one of them has no value."""
     filled = F.aggregate(F.map_entries(slots), template, lambda acc, e: F.when(e["value"].isNull(), acc).otherwise(F.replace(acc, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"])))
-    return F.when(~filled.rlike(r"\{\w+\}"), filled)
+    return once(filled, lambda t: F.when(~t.rlike(r"\{\w+\}"), t))
 
 
 def cites_line(hit: Column, place: Column, limit: int = 1500) -> Column:

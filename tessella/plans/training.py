@@ -13,7 +13,7 @@ from tessella.functions import text as X
 from tessella.operators import endpoints, metrics, retrieve, synthesis
 from tessella.plans import corpus
 from tessella.plans import sql as Q
-from tessella.plans.base import QUESTIONS_SQL, cut, query, questions, table
+from tessella.plans.base import QUESTIONS_SQL, cut, query, questions, spread, table
 from tessella.streaming import state
 
 #: An answer out of a document: its text with citations and a verdict put in by its id.
@@ -126,8 +126,12 @@ s AS (SELECT id, basic::BIGINT AS basic_salary, gross::BIGINT AS gross_salary, C
  CASE WHEN {_draw('id', 'esi_ok', 100)} < 60 OR gross > 21000 THEN due_esi ELSE due_esi + {_choice('id', 'esi_off', (-50, 50, 100))} END AS esi_deducted FROM g)"""
 
 
+def customer_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+
+
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthesis.payslip_slots(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id")
+    return synthesis.payslip_slots(customer_ids(spark, sf_dir), "id")
 
 
 @query(f"{_PAY} SELECT * FROM s")
@@ -271,7 +275,7 @@ def rag_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Template answers for every customer's sampled payslip, with two or three documents to cite."""
-    s = sampled(spark, sf_dir).withColumn("intent", synthesis.choice(F.col("id"), "intent", tuple(synthesis.ANSWERS)))
+    s = synthesis.payslip_slots(spread(customer_ids(spark, sf_dir), "id"), "id").withColumn("intent", synthesis.choice(F.col("id"), "intent", tuple(synthesis.ANSWERS)))
     docs = F.transform(F.sequence(F.lit(0), F.lit(1) + F.pmod(F.col("id"), F.lit(2)).cast("int")), lambda i: F.concat(F.lit("DOC_"), F.pmod(F.col("id") + i, F.lit(50))))
     return synthesis.template_answers(s.withColumn("allowed", F.when(F.col("intent") == "full_audit", F.concat(docs, F.array(F.lit(T.TOOL_DOC)))).otherwise(docs)))
 
@@ -320,7 +324,7 @@ _FILLED = f"replace({_FILLED}, '{{cite}}', 'DOC_' || (id % 50))"
 @query(f"{_INTENTS} SELECT id, intent, verdict, amount::BIGINT AS amount, share::BIGINT AS share, {_FILLED} AS chosen FROM t")
 def intent_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An answer of one of thirteen intents for every customer, out of slots of four domains."""
-    rows = synthesis.intent_slots(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id").withColumn("allowed", F.array(F.concat(F.lit("DOC_"), F.col("id") % 50)))
+    rows = synthesis.intent_slots(spread(customer_ids(spark, sf_dir), "id"), "id").withColumn("allowed", F.array(F.concat(F.lit("DOC_"), F.col("id") % 50)))
     return synthesis.intent_answers(rows).select("id", "intent", "verdict", "amount", "share", "chosen")
 
 

@@ -116,6 +116,19 @@ def test_contrastive(spark):
     assert v == "ok"
 
 
+def test_pairs_are_dealt_by_rows_and_read_each_answer_once(spark, tmp_path, monkeypatch):
+    """Customers in one row group are worked on in partitions of bounded rows, and a validator lower-cases and splits an answer once, not once a test."""
+    spark.range(1000).selectExpr("id AS c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    monkeypatch.setattr(base, "SPREAD_ROWS", 100)
+    for q in (training.contrastive_pairs, training.intent_answers):
+        rows = q(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() == 10 and rows.count() == rows.select("id").distinct().count() == 1000
+    rows, c = spark.createDataFrame([(1, "a", "b", ["A_1"])], "id long, a string, b string, allowed array<string>"), F.col
+    for reason, times in ((synthesis.sft_reason(c("a"), c("allowed")), 1), (synthesis.chosen_reason(c("a"), c("allowed"), F.lit("grounding")), 1), (synthesis.rejected_reason(c("b"), c("a"), F.lit("verdict_correctness")), 2)):
+        plan = rows.select(reason.alias("r"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("lower(") == times and plan.count("split(") == plan.count("regexp_extract_all(") == 1
+
+
 def test_html_rows():
     page = "<table><tr><th>q</th></tr><tr><td> A <b>b</b></td><td>x&amp;y<td>z</tr><tr><td></td><td>n</td></tr></table><ul><li>one<ul><li>two</li></ul></li><li> </li></ul>"
     got = list(html.entries(page, True))
