@@ -102,18 +102,30 @@ def draw(key: Column, name: str, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(name))), 1, 7), 16, 10).cast("long"), n)
 
 
-def chosen_passages(asked: DataFrame, docs: DataFrame, most: int = 3) -> DataFrame:
-    """(id, picked): two or three documents of the asked (domain, subdomain), chosen by hashes without repeats, then those of `cross` that exist and
-    aren't among them. Documents are numbered within their subdomain, and choices are joined by number: no list of a subdomain's documents is made."""
+def places(docs: DataFrame) -> DataFrame:
+    """(domain, subdomain, doc_id, _number): documents numbered within their subdomain, by a hash of their ids."""
     spot = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2)
-    placed = numbered(docs.select("domain", "subdomain", "doc_id"), ["domain", "subdomain"], spot, ["doc_id"], "_number")
-    sizes = docs.groupBy("domain", "subdomain").agg(F.count(F.lit(1)).alias("_size"))
+    return numbered(docs.select("domain", "subdomain", "doc_id"), ["domain", "subdomain"], spot, ["doc_id"], "_number")
+
+
+def chosen_passages(asked: DataFrame, docs: DataFrame, most: int = 3, placed: DataFrame | None = None) -> DataFrame:
+    """(id, picked): two or three documents of the asked (domain, subdomain), chosen by hashes without repeats, then those of `cross`, if asked has it, that exist and
+    aren't among them. Documents are numbered within their subdomain, and choices are joined by number: no list of a subdomain's documents is made.
+
+    placed: places(docs), made once by a caller who asks for a few passages again and again. Choices are then sent to the documents' numbers, which aren't exchanged.
+    """
+    few = F.broadcast if placed is not None else lambda rows: rows
+    sizes = (docs if placed is None else placed).groupBy("domain", "subdomain").agg(F.count(F.lit(1)).alias("_size"))
+    placed = places(docs) if placed is None else placed
     drawn = asked.join(sizes, ["domain", "subdomain"])
     n = F.least(draw(F.col("id"), "n", F.lit(2)) + 2, F.lit(most), F.col("_size"))
     first, step = draw(F.col("id"), "first", F.col("_size")), 1 + draw(F.col("id"), "step", F.greatest(F.lit(1), F.floor((F.col("_size") - 1) / 2)))
     drawn = drawn.withColumns({"_n": n, "_f": first, "_s": step}).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    picked = drawn.withColumn("_number", F.pmod(F.col("_f") + F.col("_k") * F.col("_s"), F.col("_size"))).join(placed, ["domain", "subdomain", "_number"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_k", "doc_id"))).alias("p"))
+    drawn = drawn.withColumn("_number", F.pmod(F.col("_f") + F.col("_k") * F.col("_s"), F.col("_size")))
+    picked = few(drawn).join(placed, ["domain", "subdomain", "_number"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_k", "doc_id"))).alias("p"))
     picked = picked.select("id", F.col("p.doc_id").alias("picked"))
+    if "cross" not in asked.columns:
+        return picked
     cross = asked.select("id", F.posexplode("cross").alias("pos", "doc_id")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))).alias("c"))
     more = F.coalesce(F.col("c.doc_id"), F.array().cast("array<bigint>"))
     return picked.join(cross, "id", "left").select("id", F.concat("picked", F.array_except(more, "picked")).alias("picked"))

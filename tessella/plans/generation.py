@@ -207,15 +207,20 @@ LOOP_INTENTS = tuple((d, i, s) for d in ("pf", "payslip", "labour", "tax") for i
 
 
 def loop_inputs(spark: SparkSession, sf_dir: str):
-    """(targets, intents, caps, make) of the generation loop over documents: a tenth of a domain's documents are wanted, and a candidate's passages are chosen by hashes."""
+    """(targets, intents, caps, make) of the generation loop over documents: a tenth of a domain's documents are wanted, and a candidate's passages are chosen by hashes.
+
+    Documents are numbered once. A wave's choices, three at most for each of LOOP_BATCH candidates of a domain, are sent to the documents, whose texts aren't exchanged."""
     docs = corpus.documents(spark, sf_dir)
     targets = docs.groupBy("domain").agg(F.greatest(F.lit(5), F.floor(F.count(F.lit(1)) / 10)).cast("long").alias("target"))
     limits = docs.select("domain").distinct().select("domain", F.when(F.col("domain") == "payslip", 12).otherwise(60).alias("abs_cap"), F.lit(10).alias("per_doc"))
     intents = spark.createDataFrame([(d, i, list(s), k) for k, (d, i, s) in enumerate(LOOP_INTENTS)], "domain string, intent string, subdomains array<string>, place int")
 
+    placed = cut(generation.places(docs), "loop-places")
+
     def make(picks: DataFrame) -> DataFrame:
-        asked = picks.select(F.concat_ws("|", "domain", "pick", "intent").alias("id"), "domain", "subdomain", F.array().cast("array<bigint>").alias("cross")).distinct()
-        found = generation.chosen_passages(asked, docs).select("id", F.posexplode("picked").alias("rank", "doc_id")).join(docs.select("doc_id", "text", "effective_date", F.col("domain").alias("of")), "doc_id")
+        asked = picks.select(F.concat_ws("|", "domain", "pick", "intent").alias("id"), "domain", "subdomain").distinct()
+        chosen = generation.chosen_passages(asked, docs, placed=placed).select("id", F.posexplode("picked").alias("rank", "doc_id"))
+        found = F.broadcast(chosen).join(docs.select("doc_id", "text", "effective_date", F.col("domain").alias("of")), "doc_id")
         hit = F.struct("rank", F.concat(F.lit("DOC_"), F.col("doc_id")).alias("doc_id"), "effective_date", F.col("of").alias("domain"), F.coalesce("text", F.lit("")).alias("content"))
         got = found.groupBy("id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))  # three at most
         made = picks.withColumn("id", F.concat_ws("|", "domain", "pick", "intent")).join(got, "id", "left")

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import closed_loop, endpoints, synthesis
-from tessella.plans import generation
+from tessella.operators.generation import chosen_passages
+from tessella.plans import corpus, generation
 
 
 def number(key, n):
@@ -113,6 +114,23 @@ def test_query_against_a_loop(spark):
     assert sorted(x for x in rows if x[3] != "ok") == bad and sorted(x[:3] for x in rows if x[3] == "ok") == kept
 
 
+def test_waves_do_not_exchange_documents(spark):
+    """A wave's few choices go to the documents: the same passages as by an exchange, and no exchange of documents by their id or number."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        make = generation.loop_inputs(spark, "/root/testdata/sf0.001")[3]
+        made = make(spark.createDataFrame([(d, k, i, s[0]) for k, (d, i, s) in enumerate(generation.LOOP_INTENTS)], "domain string, pick long, intent string, subdomain string"))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(doc_id" not in plan and "_number" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning" in x)
+        docs = corpus.documents(spark, "/root/testdata/sf0.001")
+        asked = made.select(F.concat_ws("|", "domain", "pick", "intent").alias("id"), "domain", "subdomain")
+        want = {r["id"]: [f"DOC_{x}" for x in r["picked"]] for r in chosen_passages(asked.withColumn("cross", F.array().cast("array<bigint>")), docs).collect()}
+        assert want and {"|".join((r["domain"], str(r["pick"]), r["intent"])): r["allowed"] for r in made.collect() if r["allowed"]} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
 @pytest.mark.parametrize("fills", [[(0, 5), (0, 5), (0, 5)], [(3, 9), (0, 4), (7, 8)], [(9, 4), (2, 2), (0, 30)], [(0, 0)], []])
 def test_least_filled_against_greedy(spark, fills):
     n = [f for f, _ in fills]
