@@ -4,6 +4,8 @@ import json
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessella.functions import tables as T
@@ -257,6 +259,46 @@ def test_bm25_in_passes_and_blocks(spark, monkeypatch):
     assert whole == sorted(want)
 
 
+def test_bm25_sums_few_cells_in_double_precision(monkeypatch):
+    """Cells are ruled out in single precision, and hits are still exact: scores that single precision can't tell apart, ties, negative weights and documents that share no token."""
+    r = np.random.default_rng(5)
+    for least, copies, words in ((0.5, 1, 40), (-0.5, 1, 1), (0.5, 40, 1)):
+        docs = [r.zipf(1.3, r.integers(words, 100)) % 500 for _ in range(6000 // copies)] * copies + [np.zeros(0, np.int64), np.full(3, 10**6)]
+        queries = [np.unique(r.zipf(1.2, r.integers(words, words + 20)) % 600) for _ in range(300)]
+        q, t = np.repeat(np.arange(300), [len(x) for x in queries]), np.concatenate(queries)
+        vocabulary, place = np.unique(t, return_inverse=True)
+        weight = r.integers(least * 2, 9, len(q)) + 1.0 + r.integers(0, 3, len(q)) * 1e-6
+        cells = {np.float32: 0, np.float64: 0}
+        products, sums = retrieve._products, retrieve._sums
+
+        def counted(*a, products=products, cells=cells):
+            made = products(*a)
+            cells[made.dtype.type] += made.size
+            return made
+
+        def summed(*a, sums=sums, cells=cells):
+            made = sums(*a)
+            cells[np.float64] += len(made)
+            return made
+
+        monkeypatch.setattr(retrieve, "_products", counted)
+        monkeypatch.setattr(retrieve, "_sums", summed)
+        batch = pa.record_batch([pa.array(range(len(docs))), pa.array(docs, pa.list_(pa.int64()))], names=["doc_id", "codes"])
+        (out,) = retrieve._best_documents(iter([batch]), (pa.array(range(300)), q, place, weight, vocabulary), 4, 1.5, 0.75, 30.0, 6, 64, 2048)
+        monkeypatch.undo()
+        got = {}
+        for x in out.to_pylist():
+            got.setdefault(x["query_id"], []).append((-x["score"], x["doc_id"]))
+        tf = np.array([np.bincount(d[d < 600], minlength=600) for d in docs])
+        share = tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * np.array([len(d) for d in docs])[:, None] / 30.0))
+        for k in range(300):
+            cost = np.round(-(share[:, t[q == k]] @ weight[q == k]), 6)
+            met = np.flatnonzero((tf[:, t[q == k]] > 0).any(axis=1))
+            want = sorted(zip(cost[met], met, strict=True))[:4]
+            assert [i for _, i in sorted(got.get(k, []))] == [i for _, i in want] and np.allclose([c for c, _ in sorted(got.get(k, []))], [c for c, _ in want], atol=1.1e-6)
+        assert words == 1 or cells[np.float64] < cells[np.float32] / 10
+
+
 def test_knn_in_passes(spark, monkeypatch):
     """Queries in several passes give the same hits, and no vectors are packed or joined with queries."""
     r = random.Random(4)
