@@ -28,12 +28,13 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("turn = 0 AND role = 'user' AND text IS NOT NULL").select(F.col("conv_id").alias("query_id"), F.expr(_QUESTION).alias("question"))
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def answers(spark: SparkSession, sf_dir: str, questions: DataFrame) -> DataFrame:
+    """questions (query_id, question) answered out of the documents."""
     docs = corpus.documents(spark, sf_dir)
     conditions = F.get(F.array(*[F.array(*[F.lit(c) for c in cs]).cast("array<string>") for cs in CONDITIONS]), F.length("text") % len(CONDITIONS))
     kb = docs.select(F.concat(F.lit("DOC_"), "doc_id").alias("doc_id"), F.lit(None).cast("string").alias("section_id"), F.col("source").alias("title"), "domain", "subdomain", "effective_date", F.col("text").alias("content"), conditions.alias("conditions"), F.col("doc_id").alias("_ord"))
     search = lambda q, k: retrieve.bm25(docs, q, k).withColumn("doc_id", F.concat(F.lit("DOC_"), "doc_id"))
-    return answering.answered(asked(spark, sf_dir), kb, search)
+    return answering.answered(questions, kb, search)
 
 
 _SLOTS = " UNION ALL ".join(f"SELECT query_id, domain, unnest([{', '.join(chr(39) + n + chr(39) for n in T.SLOTS[d])}]) AS slot, unnest([{', '.join(f'CAST({e} AS VARCHAR)' for e in Q.slots(d, 'low').values())}]) AS v FROM x WHERE domain = '{d}'" for d in T.DOMAINS)
@@ -69,7 +70,7 @@ a AS (SELECT t.*, CASE WHEN decision <> 'ASK' THEN CASE WHEN cites IS NULL THEN
 @query(f"{ANSWERS} SELECT query_id, domain, intent, decision, coverage, response, trace FROM a")
 def question_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's first message through the whole plan: decision, coverage, response and trace."""
-    return answers(spark, sf_dir).select("query_id", "domain", "intent", "decision", "coverage", "response", "trace")
+    return answers(spark, sf_dir, asked(spark, sf_dir)).select("query_id", "domain", "intent", "decision", "coverage", "response", "trace")
 
 
 #: What must hold of every answer, by name; the same conditions as SQL for either engine.
@@ -82,7 +83,7 @@ CHECKS = {
 @query(f"{ANSWERS} " + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, coalesce(sum((NOT ({c}))::INT), 0)::BIGINT AS failed FROM a" for n, c in CHECKS.items()))
 def pipeline_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks on the whole plan's answers: how many answers each looked at, and how many failed it."""
-    a = answers(spark, sf_dir)
+    a = answers(spark, sf_dir, asked(spark, sf_dir))
     counted = a.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(~F.expr(c)).alias(k) for k, c in CHECKS.items()])
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), "n", F.col(k).cast("long").alias("failed")) for k in CHECKS]))
     return counted.select(rows.alias("x")).select("x.*")

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import answers as A
-from tessella.functions import rules as R
 from tessella.functions import slots as S
 from tessella.functions import tables as T
 from tessella.functions import text as X
 from tessella.operators import endpoints, metrics, retrieve, synthesis
-from tessella.plans import corpus
+from tessella.plans import answering, corpus
 from tessella.plans import sql as Q
-from tessella.plans.base import QUESTIONS_SQL, cut, query, questions, spread, table
+from tessella.plans.base import QUESTIONS_SQL, query, questions, spread, table
 from tessella.streaming import state
 
 #: An answer out of a document: its text with citations and a verdict put in by its id.
@@ -257,20 +256,10 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rag_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item through the whole plan with the default endpoints: route, slots, gate, retrieval, domain order, prompt, answer, score."""
-    d = corpus.documents(spark, sf_dir)
-    q = corpus.asked(spark, sf_dir).select("query_id", F.col("text").alias("q"), S.route(F.col("text")).alias("domain"), *[c.alias(f"pf_{n}") for n, c in S.pf(F.col("text")).items()])
-    slots = F.create_map(*[x for n in T.SLOTS["pf"] for x in (F.lit(n), F.col(f"pf_{n}").cast("string"))])
-    q = cut(q.withColumn("gate", R.gate(slots, F.col("domain"))), "asked")
-    hits = retrieve.bm25(d, q.where("gate.sufficient").select("query_id", F.col("q").alias("text")), 4).join(d.drop("lang", "source"), "doc_id")
-    hits = cut(hits, "hits")
-    ranked = retrieve.own_domain_first(hits.join(q.select("query_id", F.col("domain").alias("asked")), "query_id"), F.col("asked"))
-    hit = F.struct("place", F.concat(F.lit("DOC_"), F.col("doc_id")).alias("doc_id"), "effective_date", "domain", F.coalesce("text", F.lit("")).alias("content"))
-    p = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
-    made = q.join(p, "query_id", "left").withColumn("prompt", corpus.generator_text(F.col("q"), F.col("domain"), X.prompt_block(F.col("hits")), None, F.to_json(slots)))
-    out = made.withColumn("answer", F.when(F.col("gate.sufficient"), endpoints.column(endpoints.echo_generator, F.col("prompt"))).otherwise(F.col("gate.question")))
-    fabricated: Column = F.size(F.array_except(X.citations("answer"), F.coalesce(F.col("hits.doc_id"), F.array().cast("array<string>"))))
-    return out.select("query_id", "domain", F.when(F.col("gate.sufficient"), "ANSWER").otherwise("ASK").alias("decision"), "answer", F.size(X.citations("answer")).alias("cited"), fabricated.alias("made_up"))
+    """Every benchmark item through the whole plan with the default endpoints: route, the domain's own slots, gate, retrieval, domain order, conditions, prompt, answer, score."""
+    out = answering.answers(spark, sf_dir, corpus.asked(spark, sf_dir).withColumnRenamed("text", "question")).withColumnRenamed("response", "answer")
+    cited = X.citations("answer")
+    return out.select("query_id", "domain", "decision", "answer", F.size(cited).alias("cited"), F.size(F.array_except(cited, "doc_ids")).alias("made_up"))
 
 
 def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,6 +299,22 @@ def test_bm25_sums_few_cells_in_double_precision(monkeypatch):
         assert words == 1 or cells[np.float64] < cells[np.float32] / 10
 
 
+def test_rag_pipeline_asks_for_slots_of_every_domain(spark, tmp_path):
+    """Slots are those of the item's own domain, so the gate asks back outside pf too, and what passes it is reasoned about."""
+    items = {1: "Is ESI right on my pay slip?", 2: "80C investment of 2 lakh", 3: "80C investment of 2 lakh under the new regime", 4: "Gratuity please, my employer doesn't pay", 5: "Gratuity after I worked 7 years with salary of 30,000?", 6: "the", 7: None}
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = " ".join(t or "" for t in items.values())
+    spark.createDataFrame([(k, text + " x" * k, "s", "en") for k in range(1, 10)] + [(k, f"none w{k}", "s", "en") for k in range(10, 40)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["query_id"]: r for r in training.rag_pipeline(spark, str(tmp_path)).collect()}
+    assert {k: r["domain"] for k, r in got.items()} == {1: "payslip", 2: "tax", 3: "tax", 4: "labour", 5: "labour", 6: "pf", 7: "pf"}
+    for k, slot in ((1, "gross_salary"), (2, "tax_regime"), (4, "employment_years")):
+        assert (got[k]["decision"], got[k]["answer"], got[k]["cited"], got[k]["made_up"]) == ("ASK", T.GATE_QUESTIONS[slot], 0, 0)
+    assert got[6]["decision"] == "ANSWER" and got[6]["cited"] == 4 and got[7]["answer"] == "**Result:** no source covers this; please escalate." and all(r["made_up"] == 0 for r in got.values())
+    # The gate has nothing to ask of these, but the conditions of their passages are open.
+    for k, slot in ((3, "tax_regime"), (5, "employment_years")):
+        assert got[k]["decision"] == "ASK" and got[k]["answer"].endswith("?") and got[k]["answer"] != T.GATE_QUESTIONS[slot]
+
+
 def test_knn_in_passes(spark, monkeypatch):
     """Queries in several passes give the same hits, and no vectors are packed or joined with queries."""
     r = random.Random(4)
